@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from .line_dedup import SQL as LINE_DEDUP_SQL
-from .line_dedup import op4_line_dedup
+from . import decontaminate, line_dedup, media_columns
 
 QUERIES = {
-    "op4_line_dedup": op4_line_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_media_columns": media_columns.op3_media_columns,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
 }
 ORACLE_SQL = {
-    "op4_line_dedup": LINE_DEDUP_SQL,
+    "op2_decontaminate": decontaminate.SQL,
+    "op4_line_dedup": line_dedup.SQL,
 }
