@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media_columns
+from . import decontaminate, line_dedup, media_columns, sentencepiece_codec
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_media_columns": media_columns.op3_media_columns,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
