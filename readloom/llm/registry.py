@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media_columns, sentencepiece_codec
+from . import decontaminate, line_dedup, media_columns, near_dedup, sentencepiece_codec
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_media_columns": media_columns.op3_media_columns,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
