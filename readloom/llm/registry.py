@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media_columns, near_dedup, sentencepiece_codec
+from . import decontaminate, line_dedup, media_columns, near_dedup, sentencepiece_codec, substring_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_media_columns": media_columns.op3_media_columns,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
 }
