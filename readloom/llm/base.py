@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on (a longer single text is a step of its own).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 # --- scratch tables -------------------------------------------------------------------------------------------------
