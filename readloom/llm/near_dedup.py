@@ -6,10 +6,11 @@ Documents with equal sets are one class, stood for by the smallest doc_id. Each
 samples, estimates each candidate's similarity from the population count of the XOR of two bitmaps and throws out those
 that are far too low; the rest is confirmed on the full sets. Links are put together into components.
 
-No pairs of a whole bucket are emitted. First every member of a bucket is held against the bucket's smallest member
-(a star). Most buckets are then one component. In buckets that still span several components, members meet block by
-block inside tasks: sketches are compared in blocks of ``BLOCK`` rows, and only pairs that pass the sketch and join two
-components go on to be confirmed. So any pair that some band proposes is judged, whatever the bucket's size.
+No pairs of a whole bucket are emitted. First every document is held against the smallest member of all its buckets, then
+against the smallest member of each bucket where that is in another component. Most buckets are then one component. In
+buckets that still span several, members meet block by block inside tasks: sketches are compared in blocks of ``BLOCK``
+rows, and only pairs that pass the sketch and would join two components go on to be confirmed, once each. So any pair
+that some band proposes is judged or already joined, whatever the bucket's size.
 
 Chance of a miss at the threshold itself: ``(1 - t**rows) ** bands`` in banding (7e-9 for 0.85 with 5 x 32), and about
 1e-8 in the sketch (``SLACK`` is six standard deviations of the estimate at the threshold).
@@ -149,6 +150,8 @@ def _blocks_met(threshold: float, samples: int):
     def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, comps, n = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
         odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        before = bands[:, : rows.column("band")[0].as_py()]
         mine, x, y = (rows.column(c).to_numpy() for c in ("block", "x", "y"))
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         for i in left:
@@ -156,7 +159,8 @@ def _blocks_met(threshold: float, samples: int):
             others = others[comps[others] != comps[i]]
             if len(others):
                 small, big = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
-                good = others[(small >= (threshold - 1e-9) * big) & (estimate(odd[i], odd[others], samples) >= least)]
+                new = ~(before[others] == before[i]).any(axis=1)
+                good = others[new & (small >= (threshold - 1e-9) * big) & (estimate(odd[i], odd[others], samples) >= least)]
                 yield np.minimum(ids[i], ids[good]), np.maximum(ids[i], ids[good])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +199,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sketched = materialize(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd binary"), "sketches")
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
+    def sketched_pairs(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose odd sketches allow the threshold."""
+        a, b = (classes.select(F.col("rep").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
+        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "odd_a", "odd_b", "n_a", "n_b")
+        return both.mapInArrow(_passed(threshold, samples), "a long, b long")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), judged on full sets."""
         likely = materialize(pairs, "likely")
@@ -213,34 +223,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     keys = ["f1", "f2", "n_shingles"]
     member = known.select("doc_id", *keys).join(classes.select(*keys, "rep").hint("merge"), keys).select("doc_id", "rep").distinct()
     member = materialize(member, "members")
-    light = classes.select("rep", "n_shingles", "odd")
 
-    # Buckets with several members, and the star of each.
-    banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    # Buckets with several members. First each member is held against the smallest member of all its buckets.
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("center < last")
     met = materialize(banded.join(buckets.select("key", "center", "n").hint("merge"), "key"), "buckets")
-    star = met.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    a, b = (light.select(F.col("rep").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
-    star = star.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "odd_a", "odd_b", "n_a", "n_b")
-    links = confirmed(star.mapInArrow(_passed(threshold, samples), "a long, b long"))
+    star = met.where("id <> center").groupBy(F.col("id").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
+    links = confirmed(sketched_pairs(star))
     # Sets of rows that share a doc_id belong together.
     ways = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = member.join(ways.select("doc_id", "a").hint("merge"), "doc_id").select("a", F.col("rep").alias("b"))
     parts = connected_components(links.unionByName(same))
 
-    # Buckets that still span several components: their members meet block by block.
-    labelled = met.join(parts.hint("merge"), "id", "left").select("key", "id", "n", "center", F.coalesce("component", "id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi AND m > 2").select("key")
-    placed = labelled.where("id <> center").join(open_keys.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    def opened(parts: DataFrame) -> DataFrame:
+        """The members of buckets that span several components."""
+        labelled = met.join(parts.hint("merge"), "id", "left").select("key", "band", "id", "n", "center", F.coalesce("component", "id").alias("component"))
+        spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("component"))).alias("central"))
+        return labelled.join(spans.where("lo < hi").select("key", "central").hint("merge"), "key")
+
+    def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+        if more.isEmpty():
+            return parts
+        return connected_components(parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    # Then against the smallest member of each bucket, where that is in another component.
+    stars = opened(parts).where("component <> central").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    parts = joined(parts, confirmed(sketched_pairs(stars)))
+
+    # What is still open meets block by block; a pair is judged in the first band that it shares.
+    placed = opened(parts).where("id <> center").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", "id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    spread = spread.join(light.withColumnRenamed("rep", "id").hint("merge"), "id")
+    spread = spread.select("key", "band", "id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    spread = spread.join(classes.select(F.col("rep").alias("id"), "n_shingles", "odd", "bands").hint("merge"), "id")
     ordered = spread.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
-    extra = confirmed(ordered.mapInArrow(_blocks_met(threshold, samples), "a long, b long").distinct())
-    if not extra.isEmpty():
-        stars = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        parts = connected_components(stars.unionByName(extra))
+    parts = joined(parts, confirmed(ordered.mapInArrow(_blocks_met(threshold, samples), "a long, b long")))
 
     # Members of a class have its representative's component.
     of = member.join(parts.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
