@@ -3,7 +3,8 @@
 The model's protobuf is parsed here, field by field; from it come the normaliser (its character map, dummy prefix, space
 handling), the metaspace marker, the pieces with their scores, and byte fallback. A unigram model becomes a Unigram with
 those scores; a BPE model becomes a BPE whose merges are all splits of a piece into two pieces, in order of the piece's
-score. Batches are encoded by several threads. Every row is checked: the ids against the sentencepiece library
+score. Batches are encoded by several threads; where no piece reaches over a word's begin, words that were met before are
+not encoded again. Every row is checked: the ids against the sentencepiece library
 (``parity``), and the decoded text against the normalised text (``round_trip``).
 
 Edge cases: a null or empty text has no ids, decodes to the empty text and counts as in parity; control pieces such as
@@ -16,6 +17,7 @@ Scale: a row-wise map with no shuffle; a worker holds one model and one piece of
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +35,11 @@ from .base import bounded_batches, pieces, table
 
 MARK = "▁"
 #: Bytes of text encoded in one call, and threads that a worker's calls use.
-CALL_BYTES, THREADS = 1 << 18, 2
+CALL_BYTES, THREADS = 1 << 20, 2
+#: Cuts whose ids a worker remembers; at the next call after that it begins anew.
+CACHED = 400_000
+#: A text's cuts: markers and what follows them.
+CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 COLUMNS = ("ids", "ids_sha256", "decoded", "parity", "round_trip")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -130,6 +136,11 @@ def parse_model(data: bytes) -> Model:
     return model
 
 
+def separable(model: Model) -> bool:
+    """Whether no piece goes from another character into a marker: then a text may be cut there without changing its ids."""
+    return not any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces)
+
+
 def build_tokenizer(model: Model):
     """A tokenizers.Tokenizer that gives the model's ids."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -160,9 +171,8 @@ def build_tokenizer(model: Model):
         raise ValueError(f"model type {model.model_type} is not supported")
     out = Tokenizer(body)
     out.normalizer = normalizers.Sequence(steps)
-    if model.model_type == UNIGRAM or not any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces):
-        # No piece goes from another character into a marker, so text may be cut there: short cuts are cached.
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+    if separable(model):
+        out.pre_tokenizer = pre_tokenizers.Split(Regex(CUT.pattern), "isolated")
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return out
 
@@ -180,28 +190,66 @@ def piece_bytes(model: Model) -> list[bytes]:
 # --- in the workers -------------------------------------------------------------------------------------------------
 
 
+class Codec:
+    """Encodes batches of texts by several threads; cuts that were met before are remembered, up to ``CACHED`` of them."""
+
+    def __init__(self, data: bytes):
+        import sentencepiece
+        from tokenizers import normalizers
+
+        self.model = parse_model(data)
+        self.whole = build_tokenizer(self.model)
+        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.table = piece_bytes(self.model)
+        self.separable = separable(self.model)
+        self.cut = build_tokenizer(self.model)
+        self.cut.normalizer = self.cut.pre_tokenizer = None
+        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
+        self.known: dict[str, list[int]] = {}
+
+    def normalise(self, text: str) -> str:
+        """What the tokenizer's normaliser gives, without its record of where each character came from."""
+        model = self.model
+        if model.charsmap:
+            text = self.charsmap.normalize_str(text)
+        if model.collapse_spaces:
+            text = re.sub(" {2,}", " ", text).strip(" ")
+        text = text.replace(" ", MARK)
+        return MARK + text if model.dummy_prefix and text else text
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.separable:
+            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.known) > CACHED:
+            self.known.clear()
+        cuts = [CUT.findall(self.normalise(t)) for t in texts]
+        new = list({c for own in cuts for c in own if c not in self.known})
+        self.known.update(zip(new, (e.ids for e in self.cut.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        ids = self.known.__getitem__
+        return [list(chain.from_iterable(map(ids, own))) for own in cuts]
+
+    def decode(self, ids: list[int]) -> str:
+        return decode_ids(ids, self.table, self.model.dummy_prefix)
+
+
 @lru_cache(2)
-def _loaded(path: str, threads: int):
+def _loaded(path: str, threads: int) -> Codec:
     os.environ["RAYON_NUM_THREADS"] = str(threads)
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-    import sentencepiece
-
     if not os.path.isabs(path):
         path = SparkFiles.get(path)
     with open(path, "rb") as f:
-        data = f.read()
-    model = parse_model(data)
-    return build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data), piece_bytes(model), model
+        return Codec(f.read())
 
 
 def encode_texts(texts: list[str], path: str, threads: int = THREADS) -> tuple[list[list[int]], list[str], list[bool], list[bool]]:
     """ids, decoded texts, whether the sentencepiece library gives the same ids, and whether decoding gives the text."""
-    mine, theirs, table, model = _loaded(path, threads)
-    ids = [e.ids for e in mine.encode_batch_fast(texts, add_special_tokens=False)]
-    decoded = [decode_ids(x, table, model.dummy_prefix) for x in ids]
-    parity = [a == b for a, b in zip(ids, theirs.encode(texts, num_threads=1), strict=True)]
-    plain = not model.charsmap and not model.collapse_spaces
-    wanted = [t.replace(MARK, " ") for t in texts] if plain else [theirs.decode(x) for x in ids]
+    codec = _loaded(path, threads)
+    ids = codec.encode(texts)
+    decoded = [codec.decode(x) for x in ids]
+    parity = [a == b for a, b in zip(ids, codec.theirs.encode(texts, num_threads=1), strict=True)]
+    plain = not codec.model.charsmap and not codec.model.collapse_spaces
+    wanted = [t.replace(MARK, " ") for t in texts] if plain else [codec.theirs.decode(x) for x in ids]
     return ids, decoded, parity, [a == b for a, b in zip(decoded, wanted, strict=True)]
 
 
