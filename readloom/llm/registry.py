@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, media_columns, near_dedup, sentencepiece_codec, substring_dedup, toxicity
+from . import decontaminate, html_extract, line_dedup, lm_score, media_columns, near_dedup, sentencepiece_codec, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
