@@ -4,10 +4,12 @@ A document's set is its distinct word shingles (A-Z lower-cased; a shorter docum
 Documents with equal sets are one class, stood for by the smallest doc_id. Each class has a MinHash signature of
 ``bands * rows`` samples. Bands of the signature propose candidate pairs; an odd sketch, the parity bitmap of the
 samples, estimates each candidate's similarity from the population count of the XOR of two bitmaps and throws out those
-that are far too low; the rest is confirmed on the full sets. Links are put together into components.
+that are far too low; a second parity bitmap, of the whole set, rules out without error what differs in more shingles than
+the threshold allows. The rest is confirmed on the full sets. Links are put together into components.
 
-No pairs of a whole bucket are emitted. First every document is held against the smallest member of all its buckets, then
-against the smallest member of each bucket where that is in another component. Most buckets are then one component. In
+No pairs of a whole bucket are emitted. First every document is held against one center, then against the center of each
+of its buckets where that is in another component; the center is the member that shares most buckets, as an original does
+among its variants. Most buckets are then one component. In
 buckets that still span several, members meet block by block inside tasks: sketches are compared in blocks of ``BLOCK``
 rows, and only pairs that pass the sketch and would join two components go on to be confirmed, once each. So any pair
 that some band proposes is judged or already joined, whatever the bucket's size.
@@ -36,8 +38,8 @@ from .base import Words, bounded_batches, discard, materialize, mix, pieces, shi
 from .components import connected_components
 
 BLOCK = 512
-#: Bits of an odd sketch.
-BITS = 512
+#: Bits of the odd sketch of the samples, and of the parity bitmap of the whole set.
+BITS, SET_BITS = 512, 2048
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,20 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(cells.reshape(n, BITS).astype(bool), axis=1).view(np.uint64)
 
 
+def parities(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the whole sets, ``SET_BITS // 64`` words a row."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    cells = np.bincount(owner * SET_BITS + (names & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=n * SET_BITS) & 1
+    return np.packbits(cells.reshape(n, SET_BITS).astype(bool), axis=1).view(np.uint64)
+
+
+def allowed(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, threshold: float) -> np.ndarray:
+    """False where the XOR of whole sets' parity bitmaps rules the threshold out: it has at most a bit a differing shingle."""
+    most = (n_x + n_y) * (1 - threshold) / (1 + threshold) + 1e-6
+    return np.bitwise_count(x ^ y).sum(axis=-1) <= most
+
+
 def estimate(x: np.ndarray, y: np.ndarray, samples: int) -> np.ndarray:
     """Estimated Jaccard similarity from the XOR of odd sketches: -inf where the bitmaps look independent."""
     differ = np.bitwise_count(x ^ y).sum(axis=-1).astype(float)
@@ -106,22 +122,27 @@ def _sketched(size: int, bands: int, rows: int):
             has = n > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))), pa.int32()), signed(np.ascontiguousarray(hashes[has].ravel())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *(signed(s[offsets[1:]] - s[offsets[:-1]]) for s in sums), lists, pa.array([s.tobytes() for s in sketches], pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "bands", "odd"],
+                [batch.column("doc_id"), pa.array(n), *(signed(s[offsets[1:]] - s[offsets[:-1]]) for s in sums), lists, *(pa.array([x.tobytes() for x in s], pa.binary()) for s in (sketches, parities(names, offsets)))],
+                ["doc_id", "n_shingles", "f1", "f2", "bands", "odd", "parity"],
             )
 
     return run
 
 
+def _bitmaps(column: pa.Array, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bits // 64)
+
+
 def _passed(threshold: float, samples: int):
     """Candidate pairs whose sketches allow the threshold."""
     least = threshold - slack(threshold, samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("odd_a", "odd_b"))
+            x, y = (_bitmaps(batch.column(c), BITS) for c in ("odd_a", "odd_b"))
+            p, q = (_bitmaps(batch.column(c), SET_BITS) for c in ("parity_a", "parity_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            fits = (estimate(x, y, samples) >= least) & (np.minimum(n_a, n_b) >= (threshold - 1e-9) * np.maximum(n_a, n_b))
+            fits = (estimate(x, y, samples) >= least) & allowed(p, q, n_a, n_b, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return run
@@ -149,7 +170,7 @@ def _blocks_met(threshold: float, samples: int):
 
     def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, comps, n = (rows.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-        odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        odd, parity = _bitmaps(rows.column("odd"), BITS), _bitmaps(rows.column("parity"), SET_BITS)
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         before = bands[:, : rows.column("band")[0].as_py()]
         mine, x, y = (rows.column(c).to_numpy() for c in ("block", "x", "y"))
@@ -158,9 +179,9 @@ def _blocks_met(threshold: float, samples: int):
             others = right[ids[right] > ids[i]] if x[0] == y[0] else right
             others = others[comps[others] != comps[i]]
             if len(others):
-                small, big = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
                 new = ~(before[others] == before[i]).any(axis=1)
-                good = others[new & (small >= (threshold - 1e-9) * big) & (estimate(odd[i], odd[others], samples) >= least)]
+                good = others[new & allowed(parity[i], parity[others], n[i], n[others], threshold)]
+                good = good[estimate(odd[i], odd[good], samples) >= least]
                 yield np.minimum(ids[i], ids[good]), np.maximum(ids[i], ids[good])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +217,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     bounded_batches(spark)
     threshold, samples = percent / 100, bands * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialize(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd binary"), "sketches")
+    sketched = materialize(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, odd binary, parity binary"), "sketches")
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     def sketched_pairs(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose odd sketches allow the threshold."""
-        a, b = (classes.select(F.col("rep").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
-        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "odd_a", "odd_b", "n_a", "n_b")
+        a, b = (classes.select(F.col("rep").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("parity").alias(f"parity_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
+        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "odd_a", "odd_b", "parity_a", "parity_b", "n_a", "n_b")
         return both.mapInArrow(_passed(threshold, samples), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -217,24 +238,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return found
 
     # Classes of equal sets; the smallest doc_id stands for its class.
-    one = F.min(F.struct("doc_id", "bands", "odd")).alias("one")
+    one = F.min(F.struct("doc_id", "bands", "odd", "parity")).alias("one")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(one).select("f1", "f2", "n_shingles", "one.*")
     classes = materialize(classes.withColumnRenamed("doc_id", "rep"), "classes")
     keys = ["f1", "f2", "n_shingles"]
     member = known.select("doc_id", *keys).join(classes.select(*keys, "rep").hint("merge"), keys).select("doc_id", "rep").distinct()
     member = materialize(member, "members")
 
-    # Buckets with several members. First each member is held against the smallest member of all its buckets.
+    # Buckets with several members, each with the member that shares the most buckets with others as its center. First each
+    # member is held against the most central of its centers.
     banded = classes.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("center < last")
-    met = materialize(banded.join(buckets.select("key", "center", "n").hint("merge"), "key"), "buckets")
-    star = met.where("id <> center").groupBy(F.col("id").alias("b")).agg(F.min("center").alias("a")).select("a", "b")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(banded.join(buckets.hint("merge"), "key"), "shared")
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    best = F.max(F.struct(F.col("weight"), (-F.col("id")).alias("back"))).alias("best")
+    centers = shared.join(weight.hint("merge"), "id").groupBy("key").agg(best)
+    met = materialize(shared.join(centers.hint("merge"), "key").select("key", "band", "id", "n", (-F.col("best.back")).alias("center"), "best"), "buckets")
+    discard(shared)
+    star = met.where("id <> center").groupBy(F.col("id").alias("b")).agg(F.max("best").alias("best")).select((-F.col("best.back")).alias("a"), "b")
     links = confirmed(sketched_pairs(star))
     # Sets of rows that share a doc_id belong together.
     ways = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = member.join(ways.select("doc_id", "a").hint("merge"), "doc_id").select("a", F.col("rep").alias("b"))
     parts = connected_components(links.unionByName(same))
 
+    # Then against the center of each bucket, where that is in another component; then block by block.
     def opened(parts: DataFrame) -> DataFrame:
         """The members of buckets that span several components."""
         labelled = met.join(parts.hint("merge"), "id", "left").select("key", "band", "id", "n", "center", F.coalesce("component", "id").alias("component"))
@@ -246,16 +274,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             return parts
         return connected_components(parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    # Then against the smallest member of each bucket, where that is in another component.
     stars = opened(parts).where("component <> central").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     parts = joined(parts, confirmed(sketched_pairs(stars)))
 
-    # What is still open meets block by block; a pair is judged in the first band that it shares.
+    # A pair is judged in the first band that it shares.
     placed = opened(parts).where("id <> center").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", "band", "id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    spread = spread.join(classes.select(F.col("rep").alias("id"), "n_shingles", "odd", "bands").hint("merge"), "id")
+    spread = spread.join(classes.select(F.col("rep").alias("id"), "n_shingles", "odd", "parity", "bands").hint("merge"), "id")
     ordered = spread.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
     parts = joined(parts, confirmed(ordered.mapInArrow(_blocks_met(threshold, samples), "a long, b long")))
 
