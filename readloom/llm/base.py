@@ -142,6 +142,14 @@ _WORDS = Powers(0xE95F3A1B7C9D4E25)
 _WORDS_2 = Powers(0xC2B2AE3D27D4EB4D)
 
 
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit name of each span of bytes."""
+    up, down = _BYTES.take(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """All words of some texts: byte spans, each text's first word, and a 64-bit name of each word."""
 
@@ -158,10 +166,7 @@ class Words:
         tail[last] = inside[last]
         self.starts, self.ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _BYTES.take(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=sums[1:])
-        self.names = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.names = span_names(data, self.starts, self.ends, lower)
 
     @property
     def counts(self) -> np.ndarray:

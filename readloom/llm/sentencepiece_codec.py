@@ -3,9 +3,13 @@
 The model's protobuf is parsed here, field by field; from it come the normaliser (its character map, dummy prefix, space
 handling), the metaspace marker, the pieces with their scores, and byte fallback. A unigram model becomes a Unigram with
 those scores; a BPE model becomes a BPE whose merges are all splits of a piece into two pieces, in order of the piece's
-score. Batches are encoded by several threads; where no piece reaches over a word's begin, words that were met before are
-not encoded again. Every row is checked: the ids against the sentencepiece library
-(``parity``), and the decoded text against the normalised text (``round_trip``).
+score. Batches are encoded by several threads. Every row is checked: the ids against the sentencepiece library (``parity``),
+and the decoded text against the normalised text (``round_trip``).
+
+Where no piece of the model goes from another character into a marker, ids cannot reach over the begin of a word: a text's
+ids are those of its cuts (a run of spaces and what follows), put together. Then each distinct cut of a batch is encoded
+once by either library and compared, and many are remembered, instead of every occurrence. Other models, and texts with the
+marker itself, are encoded and compared as whole texts.
 
 Edge cases: a null or empty text has no ids, decodes to the empty text and counts as in parity; control pieces such as
 ``<s>`` or ``<0x0A>`` written in a text are ordinary characters; the marker U+2581 written in a text reads as a space.
@@ -31,12 +35,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, pieces, table
+from .base import bounded_batches, flat, pieces, span_names, table
 
 MARK = "▁"
 #: Bytes of text encoded in one call, and threads that a worker's calls use.
-CALL_BYTES, THREADS = 1 << 20, 2
-#: Cuts whose ids a worker remembers; at the next call after that it begins anew.
+CALL_BYTES, THREADS = 1 << 21, 2
+#: Cuts whose ids a worker remembers: the first that it meets, so nearly all frequent ones.
 CACHED = 400_000
 #: A text's cuts: markers and what follows them.
 CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -191,21 +195,28 @@ def piece_bytes(model: Model) -> list[bytes]:
 
 
 class Codec:
-    """Encodes batches of texts by several threads; cuts that were met before are remembered, up to ``CACHED`` of them."""
+    """Encodes and decodes batches. Distinct cuts of a batch are encoded once, by several threads, and many remembered."""
 
     def __init__(self, data: bytes):
         import sentencepiece
         from tokenizers import normalizers
 
-        self.model = parse_model(data)
-        self.whole = build_tokenizer(self.model)
+        self.model = model = parse_model(data)
+        self.whole = build_tokenizer(model)
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.table = piece_bytes(self.model)
-        self.separable = separable(self.model)
-        self.cut = build_tokenizer(self.model)
+        self.table = piece_bytes(model)
+        self.flat_table = np.frombuffer(b"".join(self.table), np.uint8)
+        self.sizes = np.array([len(p) for p in self.table])
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.cut = build_tokenizer(model)
         self.cut.normalizer = self.cut.pre_tokenizer = None
-        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.known: dict[str, list[int]] = {}
+        self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
+        self.plain = not model.charsmap and not model.collapse_spaces
+        #: Whether texts can be cut as bytes: then a cut begins at each run of spaces.
+        self.by_bytes = self.plain and separable(model)
+        #: Remembered cuts, by name: how many ids, where they stand in the pool, and whether sentencepiece agrees.
+        self.names, self.counts, self.at, self.agrees = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pool = np.zeros(0, np.int32)
 
     def normalise(self, text: str) -> str:
         """What the tokenizer's normaliser gives, without its record of where each character came from."""
@@ -218,19 +229,84 @@ class Codec:
         return MARK + text if model.dummy_prefix and text else text
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.separable:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        cuts = [CUT.findall(self.normalise(t)) for t in texts]
-        new = list({c for own in cuts for c in own if c not in self.known})
-        self.known.update(zip(new, (e.ids for e in self.cut.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        ids = self.known.__getitem__
-        return [list(chain.from_iterable(map(ids, own))) for own in cuts]
+        if separable(self.model):
+            cuts = [CUT.findall(self.normalise(t)) for t in texts]
+            own = list({c for x in cuts for c in x})
+            ids = dict(zip(own, (e.ids for e in self.cut.encode_batch_fast(own, add_special_tokens=False)), strict=True))
+            return [list(chain.from_iterable(map(ids.__getitem__, x))) for x in cuts]
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end, whether sentencepiece agrees); a null text has no ids.
+
+        Where texts can be cut, agreement on every cut is agreement on the text; else whole texts are compared.
+        """
+        data, offsets = flat(column)
+        if not self.by_bytes or MARK.encode() in data.tobytes():
+            texts = [t or "" for t in column.to_pylist()]
+            ids = self.encode(texts)
+            ends = np.cumsum([0, *map(len, ids)])
+            agrees = np.array([a == b for a, b in zip(ids, self.theirs.encode(texts, num_threads=1), strict=True)], bool)
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends, agrees
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.ones(len(offsets) - 1, bool)
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        texts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[texts] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        leads = np.zeros(len(data), bool)
+        leads[texts] = True
+        leads = leads[starts]
+        names, at, back = np.unique(span_names(data, starts, ends) + leads.astype(np.uint64), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+        hit = self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
+        raw, prefix = data.tobytes(), MARK if self.model.dummy_prefix else ""
+        cuts = [(prefix if leads[i] else "") + raw[starts[i] : ends[i]].decode().replace(" ", MARK) for i in at[~hit].tolist()]
+        new = [e.ids for e in self.cut.encode_batch_fast(cuts, add_special_tokens=False)]
+        theirs = self.theirs.encode([c[len(prefix) :].replace(MARK, " ") for c in cuts], num_threads=1)
+        new_counts = np.fromiter(map(len, new), np.int64, len(new))
+        counts, where, agrees = np.empty(len(names), np.int64), np.empty(len(names), np.int64), np.empty(len(names), bool)
+        if len(self.names):
+            counts[hit], where[hit], agrees[hit] = self.counts[place[hit]], self.at[place[hit]], self.agrees[place[hit]]
+        counts[~hit], where[~hit] = new_counts, len(self.pool) + np.cumsum(new_counts) - new_counts
+        agrees[~hit] = [a == b for a, b in zip(new, theirs, strict=True)]
+        pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(new), np.int32, int(new_counts.sum()))])
+        per_cut = counts[back]
+        stops = np.concatenate(([0], np.cumsum(per_cut)))
+        ids = pool[np.repeat(where[back] - stops[:-1], per_cut) + np.arange(stops[-1])]
+        if len(self.names) < CACHED:
+            order = np.argsort(np.concatenate([self.names, names[~hit]]))
+            both = ((self.names, names), (self.counts, counts), (self.at, where), (self.agrees, agrees))
+            self.names, self.counts, self.at, self.agrees = (np.concatenate([x, y[~hit]])[order] for x, y in both)
+            self.pool = pool
+        good = np.ones(len(offsets) - 1, bool)
+        good[np.searchsorted(offsets, starts[~agrees[back]], "right") - 1] = False
+        return ids, stops[np.searchsorted(starts, offsets)], good
 
     def decode(self, ids: list[int]) -> str:
         return decode_ids(ids, self.table, self.model.dummy_prefix)
 
+    def decode_column(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of all ids: piece bytes put together, the dummy prefix taken off."""
+        sizes = self.sizes[ids]
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        out = self.flat_table[np.repeat(self.places[ids] - stops[:-1], sizes) + np.arange(stops[-1])]
+        cuts = stops[ends]
+        if self.model.dummy_prefix:
+            first = cuts[:-1][cuts[:-1] < cuts[1:]]
+            first = first[out[first] == 32]
+            out = np.delete(out, first)
+            cuts = cuts - np.searchsorted(first, cuts)
+        try:
+            column = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(out)])
+            column.validate(full=True)
+            return column
+        except pa.ArrowInvalid:  # byte pieces that are no UTF-8 together
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in pairwise(ends)], pa.string())
+
 
 @lru_cache(2)
 def _loaded(path: str, threads: int) -> Codec:
@@ -242,26 +318,22 @@ def _loaded(path: str, threads: int) -> Codec:
         return Codec(f.read())
 
 
-def encode_texts(texts: list[str], path: str, threads: int = THREADS) -> tuple[list[list[int]], list[str], list[bool], list[bool]]:
-    """ids, decoded texts, whether the sentencepiece library gives the same ids, and whether decoding gives the text."""
+def coded(column: pa.Array, path: str, threads: int = THREADS) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(ids, their ends, decoded texts, whether the sentencepiece library agrees, whether decoding gives the text)."""
     codec = _loaded(path, threads)
-    ids = codec.encode(texts)
-    decoded = [codec.decode(x) for x in ids]
-    parity = [a == b for a, b in zip(ids, codec.theirs.encode(texts, num_threads=1), strict=True)]
-    plain = not codec.model.charsmap and not codec.model.collapse_spaces
-    wanted = [t.replace(MARK, " ") for t in texts] if plain else [codec.theirs.decode(x) for x in ids]
-    return ids, decoded, parity, [a == b for a, b in zip(decoded, wanted, strict=True)]
+    ids, ends, parity = codec.encode_column(column)
+    decoded = codec.decode_column(ids, ends)
+    texts = [t or "" for t in column.to_pylist()]
+    wanted = [t.replace(MARK, " ") for t in texts] if codec.plain else [codec.theirs.decode(ids[a:b].tolist()) for a, b in pairwise(ends)]
+    return ids, ends, decoded, parity, np.array([a == b for a, b in zip(decoded.to_pylist(), wanted, strict=True)], bool)
 
 
 def _coded(path: str, threads: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=CALL_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, decoded, parity, same = encode_texts(texts, path, threads)
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat_ids = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-            digests = [sha256(flat_ids[a:b].tobytes()).hexdigest() for a, b in pairwise(ends)]
-            new = [pa.ListArray.from_arrays(ends, flat_ids), pa.array(digests), pa.array(decoded, pa.string()), pa.array(parity), pa.array(same)]
+            ids, ends, decoded, parity, same = coded(batch.column("text"), path, threads)
+            digests = [sha256(ids[a:b].tobytes()).hexdigest() for a, b in pairwise(ends)]
+            new = [pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(digests, pa.string()), decoded, pa.array(parity), pa.array(same)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *COLUMNS])
 
     return run
