@@ -10,7 +10,7 @@ from; all are scored. Tokens are words (A-Z lower-cased) and one end a document.
 3. Scoring runs the model over whole documents with carried state. A token outside the vocabulary gets the probability
    of the last class times (c + 1) / (N' + V' + 1), with the counts of such tokens.
 
-Counts of the ``KNOWN`` most frequent tokens go out with the scoring function (a bounded table); the rest, a few percent of
+Counts of the most frequent tokens, ``KNOWN`` at most, go out with the scoring function (a bounded table); the rest, a few percent of
 the text, meet their counts by a join on the token.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id counts as the empty text, of remainder 0; rows that
@@ -36,7 +36,7 @@ from . import gru
 from .base import Words, bounded_batches, materialize, pieces, signed, table
 
 FOLDS, HELD_OUT = 7, 2
-#: The most frequent tokens whose counts are sent to all tasks.
+#: The most tokens, of the most frequent ones, whose counts are sent to all tasks.
 KNOWN = 1 << 18
 #: Sixteenths of the training documents that each round learns from.
 ROUNDS = (1, 5, 10)
@@ -249,7 +249,15 @@ def count_tokens(train: DataFrame) -> DataFrame:
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.col("c").desc(), "name").limit(KNOWN).toArrow().combine_chunks()  # bounded by KNOWN
+    # The least count that at most KNOWN tokens reach, from a histogram of a few hundred bins.
+    bins = counts.groupBy(F.floor(F.log2("c") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
+    least, size = None, 0
+    for row in sorted(bins, key=lambda r: -r.bin):
+        size += row.n
+        if size > KNOWN:
+            break
+        least = row.least
+    top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toArrow().combine_chunks()
     names, c = top.column("name").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.lexsort((names.view(np.int64), -c))
     ids = np.full(len(names), gru.OTHER, np.int16)
