@@ -31,6 +31,8 @@ from .base import _BYTE_LOWER, _BYTES, Words, bounded_batches, mix, pieces, tabl
 
 #: Sampled rows of each class, folds, features of a model, and bits of a feature's hash.
 PER_CLASS, FOLDS, FEATURES, BITS = 4000, 5, 512, 20
+#: The G statistic that a feature needs to be taken (about one chance in a thousand).
+LEAST_G = 10.8
 BEGINNINGS = (4, 5, 6, 8)
 CATEGORIES = ("low_quality", "toxic")
 
@@ -79,12 +81,13 @@ def _choose(rows: np.ndarray, feats: np.ndarray, y: np.ndarray, take: np.ndarray
 
     share = (yes + no) / (n_yes + n_no)
     g = part(yes, share * n_yes) + part(no, share * n_no) + part(n_yes - yes, (1 - share) * n_yes) + part(n_no - no, (1 - share) * n_no)
-    return np.sort(np.argsort(-g, kind="stable")[:FEATURES])
+    best = np.argsort(-g, kind="stable")[:FEATURES]
+    return np.sort(best[g[best] >= LEAST_G])
 
 
 def _dense(rows: np.ndarray, feats: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
     at = np.searchsorted(chosen, feats)
-    hit = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == feats)
+    hit = (at < len(chosen)) & (np.append(chosen, -1)[np.minimum(at, len(chosen))] == feats)
     x = np.zeros((n, len(chosen)), np.float32)
     x[rows[hit], at[hit]] = 1
     return x
@@ -117,7 +120,7 @@ def predict(model: Linear | None, rows: np.ndarray, feats: np.ndarray, n: int, e
     if model is None:
         return np.zeros(n)
     at = np.searchsorted(model.features, feats)
-    hit = model.features[np.minimum(at, len(model.features) - 1)] == feats
+    hit = (at < len(model.features)) & (np.append(model.features, -1)[np.minimum(at, len(model.features))] == feats)
     z = np.bincount(rows[hit], weights=model.weights[at[hit]], minlength=n) + model.intercept
     if earlier.shape[1]:
         z = z + earlier @ model.earlier
