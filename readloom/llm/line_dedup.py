@@ -9,8 +9,8 @@ decision for a key is per doc_id, so such rows keep or lose it together); a null
 an empty table gives an empty result; other columns pass through untouched, and clashing names are replaced.
 
 Scale: only (doc_id, 128-bit key) rows are exploded and shuffled, once per document and key; counts are combined on the
-map side, so a line found in a third of all documents is a handful of rows per task. Long keys come back by a join that
-Spark may split where it is skewed; texts move once, to meet their own list of keys to drop
+map side, so a line found in a third of all documents is a handful of rows per task. The keys over the
+threshold are written and come back by a join that Spark may split where a key is hot; texts move once, to meet their own list of keys to drop
 (by a merge join at every size, so that the plan does not change with the input).
 """
 
@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     docs = docs.drop("n_lines", "n_dropped", "__drop", "__of")
     lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_exploded(min_chars), "doc_id long, key binary")
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
-    gone = lines.join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    often = materialize(often, "often")
+    gone = lines.join(often.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     drops = materialize(gone.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__drop")), "lines")
     met = docs.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left").drop("__of")
     names = [*docs.columns, "n_lines", "n_dropped"]
