@@ -17,7 +17,7 @@ alike; an empty table gives an empty result; the kept words are joined by one sp
 columns pass through, clashing names are replaced.
 
 Scale: what is shuffled is a sixth of the words as 16-byte symbol rows, the windows in question, and each text twice.
-Grouped minima are combined on the map side and read back by joins that Spark may split, so a passage that a third of all
+Grouped minima are combined on the map side, written, and read back by joins that Spark may split, so a passage that a third of all
 documents share is no single task's work. No sequence is gathered beyond its own document.
 """
 
@@ -137,6 +137,7 @@ def removals(docs: DataFrame, size: int = SIZE, rounds: tuple[str, ...] = ROUNDS
 
     named = classes.select("doc_id", "f1", F.explode("names").alias("name"))
     shared = named.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    shared = materialize(shared, "shared")
     common = named.join(shared.hint("merge"), "name").groupBy("doc_id", "f1").agg(F.collect_list("name").alias("common"))
     bare = classes.where("bare").select("doc_id", "f1", F.array().cast("array<long>").alias("common"))
     asked = common.unionByName(bare).groupBy("doc_id", "f1").agg(F.flatten(F.collect_list("common")).alias("common"))
@@ -146,6 +147,7 @@ def removals(docs: DataFrame, size: int = SIZE, rounds: tuple[str, ...] = ROUNDS
     windows = texts.join(asked.hint("merge"), "doc_id").mapInArrow(_windows(size, rounds), "w1 long, w2 long, doc_id long, tag int, pos int")
     windows = materialize(windows, "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    first = materialize(first, "first")
     again = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("pos"))
     return again.unionByName(copies.withColumn("pos", F.lit(None).cast("array<int>")))
 
