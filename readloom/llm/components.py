@@ -2,7 +2,7 @@
 
 Each round is two grouped minima and two joins over the edges alone; nothing is collected, lineage is cut by written
 tables, and the number of rounds grows with the logarithm of the longest path. A vertex with very many neighbours is
-reduced by map-side minima, and the joins on its id may be split where they are skewed. Self loops and repeated edges
+reduced by map-side minima; these are written first, so that Spark may split the join on its id. Self loops and repeated edges
 are ignored; no edges give no rows.
 """
 
@@ -29,13 +29,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # Large star: every larger neighbour of a vertex goes to the smallest of the vertex and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialize(least, "least")
+        large = materialize(both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: a vertex and its smaller neighbours go to the smallest of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = materialize(small, "small")
-        discard(large)
-        discard(now)
+        for old in (large, now, least, low):
+            discard(old)
         now = small
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -249,10 +249,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # member is held against the most central of its centers.
     banded = classes.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialize(buckets, "buckets")
     shared = materialize(banded.join(buckets.hint("merge"), "key"), "shared")
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     best = F.max(F.struct(F.col("weight"), (-F.col("id")).alias("back"))).alias("best")
-    centers = shared.join(weight.hint("merge"), "id").groupBy("key").agg(best)
+    centers = materialize(shared.join(weight.hint("merge"), "id").groupBy("key").agg(best), "centers")
     met = materialize(shared.join(centers.hint("merge"), "key").select("key", "band", "id", "n", (-F.col("best.back")).alias("center"), "best"), "buckets")
     discard(shared)
     star = met.where("id <> center").groupBy(F.col("id").alias("b")).agg(F.max("best").alias("best")).select((-F.col("best.back")).alias("a"), "b")
@@ -267,7 +268,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         """The members of buckets that span several components."""
         labelled = met.join(parts.hint("merge"), "id", "left").select("key", "band", "id", "n", "center", F.coalesce("component", "id").alias("component"))
         spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("component"))).alias("central"))
-        return labelled.join(spans.where("lo < hi").select("key", "central").hint("merge"), "key")
+        spans = materialize(spans.where("lo < hi").select("key", "central"), "open")
+        return labelled.join(spans.hint("merge"), "key")
 
     def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
         if more.isEmpty():
