@@ -132,14 +132,16 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     quoted = materialize(quoted, "quoted")
     own = known.select("conv_id", "turn", F.explode("__own").alias("unit")).join(quoted.select("unit").distinct().hint("merge"), "unit", "left_semi")
     first = own.groupBy("conv_id", "unit").agg(F.min("turn").alias("original"))
+    first = materialize(first, "first")
     near = quoted.join(first.hint("merge"), ["conv_id", "unit"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     near = materialize(near, "near")
     # Units that no earlier message of the conversation has: the earliest message of the others. Two smallest conversations
     # a unit are enough, one of them is not the quoting one.
     by_conv = first.select("unit", "conv_id", "original")
     lowest = by_conv.groupBy("unit").agg(F.min(F.struct("conv_id", "original")).alias("one"))
+    lowest = materialize(lowest, "lowest")
     second = by_conv.join(lowest.hint("merge"), "unit").where(F.col("conv_id") > F.col("one.conv_id")).groupBy("unit").agg(F.min(F.struct("conv_id", "original")).alias("two"))
-    others = lowest.join(second.hint("merge"), "unit", "left")
+    others = materialize(lowest.join(second.hint("merge"), "unit", "left"), "others")
     far = near.where("original IS NULL").join(others.hint("merge"), "unit")
     source = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))
     far = far.withColumn("source", source).where("source IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "source.conv_id", "source.original")).alias("s"), F.count(F.lit(1)).alias("n_far"))
