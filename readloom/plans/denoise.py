@@ -32,10 +32,16 @@ def partition_frame(uniques: pd.DataFrame, settings: Settings, rates: np.ndarray
     uniques = uniques.sort_values("raw_index")
     sequences, quals = uniques["sequence"].tolist(), uniques["consensus_qualities"].tolist()
     s = settings
+    # A center is often held against the sequences again after a reassignment; the answer is the same.
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def against(center: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(sequences[center], sequences[i]) for i in wanted]
-        return compare_pairs(pairs, [quals[i] for i in wanted], rates, s.match, s.mismatch, s.gap, s.homo_gap, s.band, s.use_quals)
+        lam, ham = known.setdefault(center, (np.full(len(sequences), np.nan), np.zeros(len(sequences), np.int64)))
+        new = wanted[np.isnan(lam[wanted])]
+        if len(new):
+            pairs = [(sequences[center], sequences[i]) for i in new]
+            lam[new], ham[new] = compare_pairs(pairs, [quals[i] for i in new], rates, s.match, s.mismatch, s.gap, s.homo_gap, s.band, s.use_quals)
+        return lam[wanted], ham[wanted]
 
     prior = uniques["prior"].to_numpy() if "prior" in uniques else None
     part = Partition(uniques["abundance"].to_numpy(), settings, against, prior).run()
