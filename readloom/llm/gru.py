@@ -63,7 +63,9 @@ class Streams:
     def __init__(self, ids: np.ndarray, first: np.ndarray):
         """``ids[first[i]:first[i + 1]]``: the tokens of text i, its end token last."""
         lengths = np.diff(first)
-        heap = [(0, k) for k in range(min(STREAMS, max(1, len(lengths))))]
+        # No more streams than the longest text leaves full: the rest would wait for it, in memory too.
+        full = -(-int(lengths.sum()) // max(1, int(lengths.max(initial=0))))
+        heap = [(0, k) for k in range(min(STREAMS, max(1, full)))]
         dealt: list[list[int]] = [[] for _ in heap]
         for i in np.argsort(-lengths, kind="stable").tolist():
             if lengths[i]:
