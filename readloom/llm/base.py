@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on (a longer single text is a step of its own).
 PIECE_BYTES = 1 << 19
+#: Bytes whose running sums are held at once while words are named.
+SPAN_BYTES = 1 << 22
 #: Rows and bytes of an Arrow batch sent to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -143,11 +145,19 @@ _WORDS_2 = Powers(0xC2B2AE3D27D4EB4D)
 
 
 def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit name of each span of bytes."""
-    up, down = _BYTES.take(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit name of each span of bytes; spans are in order. Long texts go ``SPAN_BYTES`` at a time."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + SPAN_BYTES, "right")))
+        part = data[base : int(ends[at:to].max())]
+        up, down = _BYTES.take(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_BYTE_LOWER if lower else _BYTE)[part] * up[: len(part)], out=sums[1:])
+        s = starts[at:to] - base
+        out[at:to] = (sums[ends[at:to] - base] - sums[s]) * down[s]
+        at = to
+    return mix(out)
 
 
 class Words:

@@ -267,6 +267,8 @@ class Codec:
         cuts = [(prefix if leads[i] else "") + raw[starts[i] : ends[i]].decode().replace(" ", MARK) for i in at[~hit].tolist()]
         new = [e.ids for e in self.cut.encode_batch_fast(cuts, add_special_tokens=False)]
         theirs = self.theirs.encode([c[len(prefix) :].replace(MARK, " ") for c in cuts], num_threads=1)
+        if prefix and MARK in cuts:  # a last space: alone it would be the empty text
+            theirs[cuts.index(MARK)] = self.theirs.encode("a ")[len(self.theirs.encode("a")) :]
         new_counts = np.fromiter(map(len, new), np.int64, len(new))
         counts, where, agrees = np.empty(len(names), np.int64), np.empty(len(names), np.int64), np.empty(len(names), bool)
         if len(self.names):

@@ -9,7 +9,7 @@ The fit is on a bounded sample of labelled rows, ``PER_CLASS`` of each value of
 doc_id (parameters); scoring covers every document. Features are chosen and fitted again within each fold.
 
 Edge cases: a null or empty text has no features and gets the prior; a null label leaves its row out of that category's
-fit; a category without both values in the sample gets probability 0 and is never flagged; of repeated rows each is
+fit; a category without both values in the sample gets probability 0, and one that the sample does not teach is never flagged; of repeated rows each is
 scored; repeated labels of a doc_id count by their largest values; an empty table gives an empty result; other columns
 pass through, clashing names are replaced.
 
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import _BYTE_LOWER, _BYTES, Words, bounded_batches, mix, pieces, table
+from .base import Words, bounded_batches, mix, pieces, span_names, table
 
 #: Sampled rows of each class, folds, features of a model, and bits of a feature's hash.
 PER_CLASS, FOLDS, FEATURES, BITS = 4000, 5, 512, 20
 #: The G statistic that a feature needs to be taken (about one chance in a thousand).
 LEAST_G = 10.8
+#: A threshold that no probability reaches.
+NEVER = 2.0
 BEGINNINGS = (4, 5, 6, 8)
 CATEGORIES = ("low_quality", "toxic")
 
@@ -40,16 +42,12 @@ CATEGORIES = ("low_quality", "toxic")
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, sorted and distinct: words and their first bytes, A-Z lower-cased."""
     words = Words(column, lower=True)
-    n = len(words.data)
-    up, down = _BYTES.take(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_LOWER[words.data] * up[:n], out=sums[1:])
     owner, parts, owners = words.owner(), [], []
     for k in (0, *BEGINNINGS):
         some = np.flatnonzero(words.ends - words.starts > k) if k else np.arange(len(words.starts))
         start = words.starts[some]
         end = start + k if k else words.ends[some]
-        parts.append(mix((sums[end] - sums[start]) * down[start] + np.uint64(k)) >> np.uint64(64 - BITS))
+        parts.append(mix(span_names(words.data, start, end, lower=True) + np.uint64(k)) >> np.uint64(64 - BITS))
         owners.append(owner[some])
     pair = np.unique((np.concatenate(owners).astype(np.uint64) << np.uint64(BITS)) | np.concatenate(parts))
     return (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -143,8 +141,11 @@ def fit_chain(rows: np.ndarray, feats: np.ndarray, labels: np.ndarray, folds: np
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of best F1 on out-of-fold probabilities, of equally good ones the nearest to a half."""
-    best, at = -1.0, 0.5
+    """The cut of best F1 on out-of-fold probabilities, of equally good ones the nearest to a half.
+
+    Where none is better than to flag everything, the model has learned nothing and flags nothing.
+    """
+    best, at = 2 * y.sum() / max(1, len(y) + y.sum()), NEVER
     for t in sorted(np.linspace(0.05, 0.95, 91), key=lambda t: abs(t - 0.5)):
         f1 = 2 * (y & (p >= t)).sum() / max(1, y.sum() + (p >= t).sum())
         if f1 > best + 1e-12:

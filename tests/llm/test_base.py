@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_conftest import shingles, words
 
+from readloom.llm import base
 from readloom.llm.base import PIECE_BYTES, Words, flat, pieces, shingle_sets
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(st.sampled_from("abAÉ ß\t\n\r\x0b\x0c\x85 .,x"), max_size=30)), max_size=8)
@@ -48,6 +49,13 @@ def test_whole_and_slices():
     assert bytes(data) == b"a ba  ba b cab"
 
 
+def test_long_texts_have_the_same_names(monkeypatch):
+    text = "some words and a " + "x" * 90 + " long one, again some words"
+    whole = Words(pa.array([text, "b", text]), False)
+    monkeypatch.setattr(base, "SPAN_BYTES", 16)
+    assert Words(pa.array([text, "b", text]), False).names.tolist() == whole.names.tolist()
+
+
 def test_pieces():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * (PIECE_BYTES // 3)] * 5 + [None, "y" * (3 * PIECE_BYTES), "z"]})
     got = list(pieces(iter([batch, batch.slice(0, 0)])))

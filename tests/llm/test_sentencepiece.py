@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +26,22 @@ def test_parity(codec, text):
     assert codec.decode(ids) == text.replace(S.MARK, " ")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(" \n\t▁ab<é日"), max_size=20)), max_size=6))
+def test_columns_of_texts(codec, texts):
+    ids, ends, agrees = codec.encode_column(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == codec.theirs.encode([t or "" for t in texts])
+    assert agrees.all()
+    assert codec.decode_column(ids, ends).to_pylist() == [(t or "").replace(S.MARK, " ") for t in texts]
+
+
+def test_disagreement_shows():
+    with open(S.default_model(), "rb") as f:
+        codec = S.Codec(f.read())
+    codec.theirs = type("Other", (), {"encode": lambda self, x, **k: [[1]] * len(x) if isinstance(x, list) else [1, 2]})()
+    assert codec.encode_column(pa.array(["a b", "", "c"]))[2].tolist() == [False, True, False]
+
+
 def test_model(codec):
     m = codec.model
     assert (len(m.pieces), m.model_type, m.byte_fallback, m.unk_id) == (32000, S.BPE, True, 0)

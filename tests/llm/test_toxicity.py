@@ -66,6 +66,12 @@ def test_edges(spark, empty):
     assert T.score(empty, T.fit(empty, labels)).count() == 0
 
 
+def test_a_model_that_learned_nothing_flags_nothing(spark):
+    docs = spark.createDataFrame([(d, f"w{d}") for d in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, d % 2) for d in range(20)], "doc_id long, quality int, toxic int")
+    assert not any(r.is_toxic for r in T.score(docs, T.fit(docs, labels)).collect())
+
+
 def test_features_are_words_and_beginnings():
     rows, feats = T.features(pa.array(["Loser", "loser", "los", None, "lo ser"]))
     by = [set(feats[rows == i].tolist()) for i in range(5)]
