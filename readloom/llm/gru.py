@@ -133,7 +133,7 @@ class Net:
         logits = states @ p.classes + p.class_bias
         logits -= logits.max(axis=1, keepdims=True)
         e = np.exp(logits)
-        total = e.sum(axis=1)
+        total = e @ np.ones(CLASSES + 1, e.dtype)
         rows = np.arange(len(y))
         logp = (logits[rows, cls] - np.log(total)).astype(np.float64)
         if grads:
@@ -152,7 +152,7 @@ class Net:
             u = some @ p.words[k] + p.word_bias[k]
             u -= u.max(axis=1, keepdims=True)
             eu = np.exp(u)
-            s = eu.sum(axis=1)
+            s = eu @ np.ones(PER, eu.dtype)
             at, word = np.arange(len(own)), y[own] % PER
             logp[own] += u[at, word] - np.log(s)
             if grads:
@@ -205,6 +205,7 @@ class Trainer:
         d_act = np.empty_like(d_in)
         back = np.zeros((n, size), np.float32)
         turn = p.state.T.copy()
+        fresh = begins.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
             h, r, z, c, act = keep[t]
             back += d_states[t]
@@ -216,7 +217,7 @@ class Trainer:
             q[:, :size], q[:, size : 2 * size] = d_r, d_z
             np.multiply(d_c, r, out=q[:, 2 * size :])
             back = back * z + q @ turn
-            if begins[t].any():
+            if fresh[t]:
                 back *= ~begins[t][:, None]
         held = np.stack([k[0] for k in keep]).reshape(-1, size)
         d_state = held.T @ d_act.reshape(-1, 3 * size)

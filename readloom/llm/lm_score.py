@@ -41,7 +41,7 @@ KNOWN = 1 << 18
 #: Sixteenths of the training documents that each round learns from.
 ROUNDS = (1, 5, 10)
 #: Tokens dealt to streams at once in scoring and in training, and distinct tokens that a counting task holds.
-BLOCK_TOKENS, LEARN_TOKENS, HELD_COUNTS = 1 << 21, 1 << 20, 1 << 20
+BLOCK_TOKENS, LEARN_TOKENS, HELD_COUNTS = 1 << 21, 1 << 21, 1 << 20
 #: Weights in a row of an average, and first-step groups.
 CHUNK, GROUPS = 1 << 14, 16
 END = np.uint64(0x6E5D3C1B2A490817)
