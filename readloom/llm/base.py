@@ -65,6 +65,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators have written; call it when no result that still reads them is needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/readloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, whatever the row sizes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

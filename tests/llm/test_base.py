@@ -62,3 +62,14 @@ def test_pieces():
     assert sum(b.num_rows for b in got) == 8
     assert max(len(t or "") for b in got for t in b.column(0).to_pylist()) == 3 * PIECE_BYTES
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= PIECE_BYTES for b in got)
+
+
+def test_scratch(spark):
+    table = base.materialize(spark.range(5), "five")
+    other = base.materialize(spark.range(6), "six")
+    assert table.count() == 5
+    base.discard(table)
+    assert other.count() == 6
+    base.clear_scratch(spark)
+    base.clear_scratch(spark)
+    assert base.materialize(spark.range(3), "three").count() == 3
