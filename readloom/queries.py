@@ -324,8 +324,8 @@ def denoise_members(spark, sf_dir):
 
 @query()
 def denoise_asv_report(spark, sf_dir):
-    uniques = derep.dereplicate(amplicon_reads(spark, sf_dir))
-    return report.asv_report(denoise.denoise(uniques), uniques)
+    # The report needs no qualities, so it ranks the plain abundances again.
+    return report.asv_report(denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir))), _uniques(spark, sf_dir))
 
 
 @query()
@@ -335,8 +335,7 @@ def denoise_lineage(spark, sf_dir):
 
 @query()
 def denoise_report_lines(spark, sf_dir):
-    uniques = derep.dereplicate(amplicon_reads(spark, sf_dir))
-    return report.report_lines(report.asv_report(denoise.denoise(uniques), uniques))
+    return report.report_lines(denoise_asv_report(spark, sf_dir))
 
 
 @query()
