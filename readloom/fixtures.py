@@ -64,11 +64,12 @@ amp AS (
 amp_u AS (SELECT sequence, count(*) AS abundance, row_number() OVER (ORDER BY count(*) DESC, sequence) - 1 AS raw_index FROM amp GROUP BY sequence)"""
 
 
-def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample, id, sequence): up to 64 bases from the letters of each document."""
+def document_reads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(sample, id, sequence): bases from the letters of each document; all of them if ``whole``, else the first 64 as in ``DOC_SQL``."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     bases = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return table(spark, sf_dir, "documents").select(F.lit("doc").alias("sample"), F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.substring(bases, 1, READ_LENGTH).alias("sequence"))
+    sequence = bases if whole else F.substring(bases, 1, READ_LENGTH)
+    return table(spark, sf_dir, "documents").select(F.lit("doc").alias("sample"), F.concat(F.lit("d"), F.col("doc_id")).alias("id"), sequence.alias("sequence"))
 
 
 DOC_SQL = """

@@ -29,8 +29,8 @@ def _uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derep.rank(derep.abundances(amplicon_reads(spark, sf_dir)))
 
 
-def _doc_uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derep.rank(derep.abundances(document_reads(spark, sf_dir)))
+def _doc_uniques(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return derep.rank(derep.abundances(document_reads(spark, sf_dir, whole)))
 
 
 def _with_center(uniques: DataFrame) -> DataFrame:
@@ -176,7 +176,11 @@ def align_banded(spark, sf_dir):
 
 @query()
 def align_strings(spark, sf_dir):
-    return _aligned(spark, sf_dir, -2, 16).select("raw_index", "score", "query_align", "ref_align")
+    """Of whole documents: every unique one against the most abundant."""
+    # Ranks leave all rows in one task; alignments of whole texts are spread again.
+    both = _with_center(_doc_uniques(spark, sf_dir, whole=True).repartition("raw_index"))
+    pairs = both.select(F.col("raw_index").cast("long").alias("raw_index"), F.col("center").alias("s1"), F.col("sequence").alias("s2"))
+    return align.align(pairs, homo_gap=-2, band=16).select("raw_index", "score", "query_align", "ref_align")
 
 
 # --- error model ----------------------------------------------------------------------------------------------------
