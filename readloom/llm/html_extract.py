@@ -3,7 +3,8 @@
 Markup is stripped to lines of text, one a block; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments go with their elements. A line's weight is its text outside links. Sums of weights over ``WINDOW``
 lines then form a distribution along the page: it surges where the main text begins and dives where it ends (a short last sentence is added).
-The text between a surge and its dive is a candidate; the heaviest is kept whole, with its short lines. Where the page
+The text between a surge and its dive is a stretch; stretches are joined with the lines between them (lists, verse, short
+rows) unless these are mostly links, and the heaviest joined text is kept whole, with its short lines. Where the page
 marks its article (``article``, ``main``), the distribution is taken within these elements, so that short articles stay
 whole and heavy text outside does not win.
 
@@ -156,6 +157,18 @@ def spans(weights: np.ndarray, closes: list[bool]) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(found: list[tuple[int, int]], lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Stretches put together unless more than half of the text between them is links."""
+    out = found[:1]
+    for a, b in found[1:]:
+        between = lines[out[-1][1] : a]
+        if 2 * sum(k for _, k, _ in between) <= sum(len(t) for t, _, _ in between):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def extract_text(page: str | None) -> str:
     """The main text of a page."""
     lines = _lines(page or "")
@@ -172,7 +185,7 @@ def extract_text(page: str | None) -> str:
             last = next((i for i in range(len(own), 0, -1) if len(own[i - 1][0]) > own[i - 1][1]), 0)
             kept += [t for t, _, _ in own[min(first, found[0][0]) : max(last, found[-1][1])]] if found else []
         return " ".join(kept)
-    found = spans(weigh(lines), ends(lines))
+    found = _joined(spans(weigh(lines), ends(lines)), lines)
     if not found:
         return ""
     weights = weigh(lines)
