@@ -1,8 +1,8 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped to lines of text, one a block; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments go with their elements. A line's weight is its text outside links. Sums of weights over ``WINDOW``
-lines then form a distribution along the page: it surges where the main text begins and dives where it ends (a short last sentence is added).
+styles and comments go with their elements, but no layout container that holds the main text. A line's weight is its
+text outside links. Sums of weights over ``WINDOW`` lines then form a distribution along the page: it surges where the main text begins and dives where it ends (a short last sentence is added).
 The text between a surge and its dive is a stretch; stretches are joined with the lines between them (lists, verse, short
 rows) unless these are mostly links, and the heaviest joined text is kept whole, with its short lines. Where the page
 marks its article (``article``, ``main``), the distribution is taken within these elements, so that short articles stay
@@ -36,23 +36,87 @@ _BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _MAIN = {"article", "main"}
-#: Words in class, id or role that name boilerplate.
+#: Words that name boilerplate, as whole tokens of class, id or role; and words of place that may stand beside them in a token.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-bar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|warning|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|copyright|legal|disclaimer|complementary|contentinfo|search|pagination|pager|tags?|toolbar)(?=$|[\s_-])",
+    r"ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-bar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|warning|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|copyright|legal|disclaimer|complementary|contentinfo|search|pagination|pager|tags?|toolbar",
     re.IGNORECASE,
 )
+_PLACES = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|upper|lower|list|links?|item|box|bar|block|area|section|container|wrap|wrapper|inner|unit|slot|posts|icons?|buttons?|form|widgets|\d+", re.IGNORECASE)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WHITE = re.compile(r"\s+")
 
 
-def _boilerplate(name: str, attrs: str) -> bool:
-    if name in _BOILER or name in _RAW:
-        return True
+def _boilerplate(name: str, attrs: str) -> str:
+    """How sure an element is boilerplate: "never" text, by "tag", by "name", by "part" of a name, or "" for not."""
+    if name in _RAW:
+        return "never"
+    if name in _BOILER:
+        return "part" if name in ("form", "fieldset") else "tag"
     if not attrs or name in _MAIN or name in ("body", "html"):
-        return False
-    return any(_NAMES.search(m.strip("\"'")) for m in _NAMED.findall(attrs)) or bool(_HIDDEN.search(attrs))
+        return ""
+    if _HIDDEN.search(attrs):
+        return "never"
+    found = ""
+    for token in (t for m in _NAMED.findall(attrs) for t in m.strip("\"'").split()):
+        parts = [p for p in re.split("[-_]+", token) if p]
+        rest = [p for p in parts if not _NAMES.fullmatch(p)]
+        if _NAMES.fullmatch(token) or (parts and not rest):
+            return "name"
+        if len(rest) < len(parts) and all(_PLACES.fullmatch(p) for p in rest):
+            found = "part"
+    return found
+
+
+def _skipped(page: str, tags: list[tuple[int, int, str, bool, str]], ends: dict[int, int]) -> set[int]:
+    """The elements (numbers of their start tags) that are left out.
+
+    None that holds ``main``, or the page's only articles with most of its unlinked text; none known by a part of its name
+    (or a form) that holds most of the text outside boilerplate; and none known by its name that holds most of a page that has
+    no other text.
+    """
+    kinds = {i: kind for i in ends if (kind := _boilerplate(tags[i][2], tags[i][4]))}
+    if not kinds:
+        return set()
+    text = np.zeros(len(tags), np.int64)
+    linked = False
+    for i, (_, end, name, closing, _) in enumerate(tags):
+        if name == "a":
+            linked = not closing
+        elif name and (name not in _INLINE or name in _MAIN) and name != "br":
+            linked = False
+        if not linked:
+            text[i] = len(page[end : tags[i + 1][0] if i + 1 < len(tags) else len(page)].strip())
+
+    def covered(some) -> np.ndarray:
+        edges = np.zeros(len(tags) + 1, np.int64)
+        for i in some:
+            edges[i] += 1
+            edges[ends[i]] -= 1
+        return np.cumsum(edges)[:-1] > 0
+
+    def held(values: np.ndarray, by) -> dict[int, int]:
+        """Sums of the values inside each element."""
+        sums = np.append(0, np.cumsum(values))
+        return {i: int(sums[ends[i]] - sums[i]) for i in by}
+
+    never = {i for i, kind in kinds.items() if kind == "never"}
+    skip = set(kinds)
+    shown = ~covered(never)
+    mains = np.array([t[2] == "main" and not t[3] for t in tags]) & shown
+    marks = np.array([t[2] in _MAIN and not t[3] for t in tags]) & shown
+    skip -= {i for i, n in held(mains, skip - never).items() if n}
+    if marks.any() and not (marks & ~covered(skip)).any():
+        left = text * shown
+        own, total = held(left, skip - never), left.sum()
+        skip -= {i for i, n in held(marks, skip - never).items() if n and 2 * own[i] > total}
+    left = text * ~covered(i for i in skip if kinds[i] != "part")
+    skip -= {i for i, n in held(left, [i for i in skip if kinds[i] == "part"]).items() if 2 * n > left.sum()}
+    if not (text * ~covered(skip)).any():
+        left = text * ~covered(i for i in skip if kinds[i] in ("never", "tag"))
+        skip -= {i for i, n in held(left, [i for i in skip if kinds[i] in ("name", "part")]).items() if 2 * n > left.sum()}
+    return skip
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -85,6 +149,7 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
             stack.append(i)
         elif stack:
             ends[stack.pop()] = i
+    skip = _skipped(page, tags, ends)
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked, in_link, mains, main, at, i = 0, 0, [], -1, 0, 0
@@ -107,7 +172,7 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
         start, end, name, closing, attrs = tags[i]
         take(page[at:start])
         at = end
-        if name and not closing and _boilerplate(name, attrs) and i in ends:
+        if i in skip:
             flush()
             i = ends[i]
             at = tags[i][1]
