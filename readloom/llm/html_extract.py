@@ -5,8 +5,8 @@ styles and comments go with their elements, but no layout container that holds t
 text outside links. Sums of weights over ``WINDOW`` lines then form a distribution along the page: it surges where the main text begins and dives where it ends (a short last sentence is added).
 The text between a surge and its dive is a stretch; stretches are joined with the lines between them (lists, verse, short
 rows) unless these are mostly links, and the heaviest joined text is kept whole, with its short lines. Where the page
-marks its article (``article``, ``main``), the distribution is taken within these elements, so that short articles stay
-whole and heavy text outside does not win.
+marks its article (``article``, ``main``), all lines of these elements are kept, linked or not, so that short articles
+stay whole and heavy text outside does not win.
 
 Edge cases: a null or empty page, or one of markup alone, gives the empty text; unclosed elements end with the page (an
 unclosed boilerplate element is not believed, unless it is a script or style); broken references stay as they are; other
@@ -237,23 +237,14 @@ def _joined(found: list[tuple[int, int]], lines: list[tuple[str, int, int]]) ->
 def extract_text(page: str | None) -> str:
     """The main text of a page."""
     lines = _lines(page or "")
-    weigh = lambda some: np.array([len(t) - k for t, k, _ in some], np.int64)
-    ends = lambda some: [t.rstrip("\"')\u201d\u2019\u00bb").endswith((".", "!", "?", "\u2026", "\u3002")) for t, _, _ in some]
-    kept: list[str] = []
-    marked = list(dict.fromkeys(m for _, _, m in lines if m >= 0))
+    marked = [t for t, _, m in lines if m >= 0]
     if marked:
-        for m in marked:
-            own = [x for x in lines if x[2] == m]
-            found = spans(weigh(own), ends(own))
-            # Inside a marked article the distribution trims only what has no text outside links, before its surge and after its dive.
-            first = next((i for i, (t, k, _) in enumerate(own) if len(t) > k), len(own)) if found else len(own)
-            last = next((i for i in range(len(own), 0, -1) if len(own[i - 1][0]) > own[i - 1][1]), 0)
-            kept += [t for t, _, _ in own[min(first, found[0][0]) : max(last, found[-1][1])]] if found else []
-        return " ".join(kept)
-    found = _joined(spans(weigh(lines), ends(lines)), lines)
+        return " ".join(marked)
+    weights = np.array([len(t) - k for t, k, _ in lines], np.int64)
+    closes = [t.rstrip("\"')\u201d\u2019\u00bb").endswith((".", "!", "?", "\u2026", "\u3002")) for t, _, _ in lines]
+    found = _joined(spans(weights, closes), lines)
     if not found:
         return ""
-    weights = weigh(lines)
     a, b = max(found, key=lambda s: (weights[s[0] : s[1]].sum(), -s[0]))
     return " ".join(t for t, _, _ in lines[a:b])
 

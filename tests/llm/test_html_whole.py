@@ -25,3 +25,9 @@ def test_boilerplate_still_goes():
     for name in ("sidebar", "cookie-notice", "site-footer", "main-nav", "left_sidebar", "related-posts", "ad"):
         assert extract_text(f"<div class='{name}'><p>{SECOND}</p></div><div><p>{FIRST}</p><p>{FIRST}</p></div>") == f"{FIRST} {FIRST}", name
     assert extract_text(f"<ol class=comment-list><li><article><p>{SECOND}</p></article></ol><article>{FIRST}</article>") == FIRST
+
+
+def test_links_inside_a_marked_article():
+    assert extract_text("<article><h1><a href=x>Title</a></h1><p>Some text.</p><p><a href=y>A reference</a></p></article><ul><li><a>more</a></ul>") == "Title Some text. A reference"
+    assert extract_text("<nav><a>m</a></nav><main><ul><li><a>One</a><li><a>Two</a></ul></main>") == "One Two"
+    assert extract_text("<article><p>x</p></article><p>between</p><article><p><a>y</a></p></article>") == "x y"
