@@ -2,11 +2,13 @@
 
 Lines that begin with ``>`` are quotations; the number of marks is the level. A message's own text is what is left
 without them, without the line that announces a quotation ("... wrote:"), and with runs of empty lines closed up. Units
-of text are paragraphs (their lines put together, so that wrapping does not matter) and single lines, with white space
-collapsed and A-Z lower-cased, known by 128 bits of a hash. A quoted unit is linked to the earliest message of its
-conversation, before the quoting one, whose own text has the unit; one that no message of the conversation has is linked
-to the earliest message of all others (``source_conv``, ``source_turn``). The message that most level-1 units link to is
-the parent (of several, the earliest); following parents leads to the thread's first message.
+of text are paragraphs (their lines put together, so that wrapping does not matter), single lines and the sentences of
+both, with white space collapsed and A-Z lower-cased, known by 128 bits of a hash. A quoted unit is linked to the earliest
+message of its conversation, before the quoting one, whose own text has the unit; one that no message of the conversation
+has is linked to the earliest message of all others (``source_conv``, ``source_turn``). Quoted lines and paragraphs under
+``MIN_CHARS`` ("Yes.") link inside their conversation only. The message that most level-1 paragraphs and lines link to is
+the parent (of several, the one with most sentences, then most short units, then the earliest); following parents leads to
+the thread's first message. A quotation that holds no whole sentence, line or paragraph of its source links nothing.
 
 The result has a row a message: its own text, links, parent, depth, thread and ``formatted`` chat text. Conversations in
 reply order are the rows in the order of (conv_id, thread, turn): a reply's turn is always after its parent's.
@@ -35,8 +37,13 @@ from .base import bounded_batches, discard, materialize, table
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _SAYS = re.compile(r".*\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 _EMPTY = re.compile(r"\n{3,}")
-#: Shorter units (in characters, normalised) link nothing.
+_SENTENCE = re.compile(r"\S.*?(?:[.!?\u2026]++[\"')\]\u201d\u2019\u00bb]*(?=\s|$)|[\u3002\uff01\uff1f]+[\u300d\u300f\u201d]*|$)")
+#: Shorter units (in bytes, normalised) link only inside their conversation.
 MIN_CHARS = 8
+#: Bytes of a unit's hash; those of short units differ, so that they are told apart.
+LONG_BYTES, SHORT_BYTES = 16, 15
+#: What a unit is: a paragraph or line, a sentence in one, or a short paragraph, line or sentence.
+WHOLE, PART, SHORT, SHORT_PART = range(4)
 ADDED = ("n_quotes", "n_linked", "parent_turn", "source_conv", "source_turn", "thread", "depth", "formatted")
 
 
@@ -64,28 +71,38 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
 
 
 def units(lines: list[str]) -> list[bytes]:
-    """Hashes of the paragraphs and lines of a passage, each once."""
-    out: dict[bytes, None] = {}
+    """Hashes of the paragraphs, lines and sentences of a passage, each once."""
+    return [u for u, kind in kinds_of(lines).items() if kind < SHORT]
+
+
+def kinds_of(lines: list[str]) -> dict[bytes, int]:
+    """The units of a passage, short ones too, and what they are; of several, the first."""
+    texts: dict[str, None] = {}
     paragraph: list[str] = []
     for line in [*lines, ""]:
         words = line.split()
         if words:
             paragraph += words
         elif paragraph:
-            _unit(paragraph, out)
+            texts[" ".join(paragraph)] = None
             paragraph = []
         if words:
-            _unit(words, out)
-    return list(out)
+            texts[" ".join(words)] = None
+    out: dict[bytes, int] = {}
+    for text in texts:
+        _unit(text, WHOLE, out)
+    for sentence in dict.fromkeys(x for text in texts for x in _SENTENCE.findall(text) if x not in texts):
+        _unit(sentence.strip(), PART, out)
+    return out
 
 
-def _unit(words: list[str], out: dict[bytes, None]) -> None:
-    plain = " ".join(words).encode().lower()
-    if len(plain) >= MIN_CHARS:
-        out[blake2b(plain, digest_size=16).digest()] = None
+def _unit(text: str, kind: int, out: dict[bytes, int]) -> None:
+    plain = text.encode().lower()
+    short = len(plain) < MIN_CHARS
+    out.setdefault(blake2b(plain, digest_size=SHORT_BYTES if short else LONG_BYTES).digest(), kind + SHORT if short else kind)
 
 
-_UNITS = pa.list_(pa.struct([("level", pa.int32()), ("unit", pa.binary())]))
+_UNITS = pa.list_(pa.struct([("level", pa.int32()), ("kind", pa.int32()), ("unit", pa.binary())]))
 
 
 def _parsed(names: list[str]):
@@ -95,8 +112,9 @@ def _parsed(names: list[str]):
             for text in batch.column("text").to_pylist():
                 own, quotes = parse(text)
                 texts.append(own)
-                own_units.append(units(own.split("\n")))
-                quoted.append([{"level": level, "unit": u} for level, lines in quotes for u in units(lines)])
+                own_units.append(list(kinds_of(own.split("\n"))))
+                # Short sentences of longer quotations say nothing.
+                quoted.append([{"level": level, "kind": kind, "unit": u} for level, lines in quotes for u, kind in kinds_of(lines).items() if kind != SHORT_PART])
                 n.append(len(quotes))
             new = {"text": pa.array(texts, pa.string()), "n_quotes": pa.array(n, pa.int64()), "__own": pa.array(own_units, pa.list_(pa.binary())), "__quoted": pa.array(quoted, _UNITS)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
@@ -126,28 +144,30 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     messages = messages.drop(*ADDED, "__own", "__quoted")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
     names = [*messages.columns, "n_quotes", "__own", "__quoted"]
-    parsed = materialize(messages.mapInArrow(_parsed(names), f"{kinds}, n_quotes long, __own array<binary>, __quoted array<struct<level:int,unit:binary>>"), "messages")
+    parsed = materialize(messages.mapInArrow(_parsed(names), f"{kinds}, n_quotes long, __own array<binary>, __quoted array<struct<level:int,kind:int,unit:binary>>"), "messages")
     known = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoted = known.where("size(__quoted) > 0").select("conv_id", "turn", F.explode("__quoted").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.unit").alias("unit")).distinct()
+    quoted = known.where("size(__quoted) > 0").select("conv_id", "turn", F.explode("__quoted").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.kind").alias("kind"), F.col("q.unit").alias("unit"))
+    quoted = quoted.groupBy("conv_id", "turn", "level", "unit").agg(F.min("kind").alias("kind"))
     quoted = materialize(quoted, "quoted")
     own = known.select("conv_id", "turn", F.explode("__own").alias("unit")).join(quoted.select("unit").distinct().hint("merge"), "unit", "left_semi")
     first = own.groupBy("conv_id", "unit").agg(F.min("turn").alias("original"))
     first = materialize(first, "first")
     near = quoted.join(first.hint("merge"), ["conv_id", "unit"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     near = materialize(near, "near")
-    # Units that no earlier message of the conversation has: the earliest message of the others. Two smallest conversations
+    # Longer units that no earlier message of the conversation has: the earliest message of the others. Two smallest conversations
     # a unit are enough, one of them is not the quoting one.
-    by_conv = first.select("unit", "conv_id", "original")
+    by_conv = first.where(F.octet_length("unit") == LONG_BYTES).select("unit", "conv_id", "original")
     lowest = by_conv.groupBy("unit").agg(F.min(F.struct("conv_id", "original")).alias("one"))
     lowest = materialize(lowest, "lowest")
     second = by_conv.join(lowest.hint("merge"), "unit").where(F.col("conv_id") > F.col("one.conv_id")).groupBy("unit").agg(F.min(F.struct("conv_id", "original")).alias("two"))
     others = materialize(lowest.join(second.hint("merge"), "unit", "left"), "others")
     far = near.where("original IS NULL").join(others.hint("merge"), "unit")
     source = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))
-    far = far.withColumn("source", source).where("source IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "source.conv_id", "source.original")).alias("s"), F.count(F.lit(1)).alias("n_far"))
+    far = far.withColumn("source", source).where("source IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "kind", "source.conv_id", "source.original")).alias("s"), F.count(F.lit(1)).alias("n_far"))
     found = near.where("original IS NOT NULL")
-    votes = found.where("level = 1").groupBy("conv_id", "turn", "original").agg(F.count(F.lit(1)).alias("n"))
-    parents = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(F.col("n"), (-F.col("original")).alias("back"))).alias("best"))
+    counts = [F.count_if(F.col("kind") == kind).alias(f"n{kind}") for kind in (WHOLE, PART, SHORT)]
+    votes = found.where("level = 1").groupBy("conv_id", "turn", "original").agg(*counts)
+    parents = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(*(f"n{kind}" for kind in (WHOLE, PART, SHORT)), (-F.col("original")).alias("back"))).alias("best"))
     parents = materialize(parents.select("conv_id", "turn", (-F.col("best.back")).alias("up")), "parents")
     linked = found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_near"))
     threads = _threads(parents)
