@@ -10,7 +10,7 @@ from; all are scored. Tokens are words (A-Z lower-cased) and one end a document.
 3. Scoring runs the model over whole documents with carried state. A token outside the vocabulary gets the probability
    of the last class times (c + 1) / (N' + V' + 1), with the counts of such tokens.
 
-Counts of the most frequent tokens, ``KNOWN`` at most, go out with the scoring function (a bounded table); the rest, a few percent of
+Counts of the most frequent tokens, ``KNOWN`` at most and the vocabulary at least, go out with the scoring function (a bounded table); the rest, a few percent of
 the text, meet their counts by a join on the token.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id counts as the empty text, of remainder 0; rows that
@@ -259,6 +259,10 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
         least = row.least
     top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toArrow().combine_chunks()
     names, c = top.column("name").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    if len(names) < gru.WORDS and len(names) < totals.v:
+        # The vocabulary does not depend on where the bins are cut.
+        first = counts.orderBy(F.desc("c"), "name").limit(gru.WORDS).toArrow().combine_chunks()
+        names, c = first.column("name").to_numpy().view(np.uint64), first.column("c").to_numpy()
     order = np.lexsort((names.view(np.int64), -c))
     ids = np.full(len(names), gru.OTHER, np.int16)
     ids[order[: gru.WORDS]] = np.arange(min(gru.WORDS, len(names)))
