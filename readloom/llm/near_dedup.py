@@ -1,7 +1,8 @@
 """MinHash near-dedup with odd sketches.
 
 A document's set is its distinct word shingles (A-Z lower-cased; a shorter document is one shingle of all its words).
-Documents with equal sets are one class, stood for by the smallest doc_id. Each class has a MinHash signature of
+Documents with equal word sequences (by 128 bits of blake2b of the folded words) have equal sets and are one class, stood for
+by the smallest doc_id. Each class has a MinHash signature of
 ``bands * rows`` samples. Bands of the signature propose candidate pairs; an odd sketch, the parity bitmap of the
 samples, estimates each candidate's similarity from the population count of the XOR of two bitmaps and throws out those
 that are far too low; a second parity bitmap, of the whole set, rules out without error what differs in more shingles than
@@ -34,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, bounded_batches, discard, materialize, mix, pieces, shingle_sets, signed, table
+from .base import Words, bounded_batches, discard, exact_shingles, materialize, mix, pieces, shingle_sets, signed, table
 from .components import connected_components
 
-BLOCK = 512
+BLOCK = 4096
 #: Bits of the odd sketch of the samples, and of the parity bitmap of the whole set.
 BITS, SET_BITS = 512, 2048
 
@@ -113,8 +114,9 @@ def band_hashes(samples: np.ndarray, bands: int) -> np.ndarray:
 def _sketched(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            names, offsets = shingle_sets(Words(batch.column("text"), lower=True), size)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (names, mix(names ^ np.uint64(0x5851F42D4C957F2D)))]
+            words = Words(batch.column("text"), lower=True)
+            names, offsets = shingle_sets(words, size)
+            prints = words.fingerprints()
             n = np.diff(offsets)
             samples = signatures(names, offsets, bands * rows)
             hashes = band_hashes(samples, bands)
@@ -122,7 +124,7 @@ def _sketched(size: int, bands: int, rows: int):
             has = n > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))), pa.int32()), signed(np.ascontiguousarray(hashes[has].ravel())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *(signed(s[offsets[1:]] - s[offsets[:-1]]) for s in sums), lists, *(pa.array([x.tobytes() for x in s], pa.binary()) for s in (sketches, parities(names, offsets)))],
+                [batch.column("doc_id"), pa.array(n), *(pa.array(prints[:, k]) for k in (0, 1)), lists, *(pa.array([x.tobytes() for x in s], pa.binary()) for s in (sketches, parities(names, offsets)))],
                 ["doc_id", "n_shingles", "f1", "f2", "bands", "odd", "parity"],
             )
 
@@ -149,14 +151,15 @@ def _passed(threshold: float, samples: int):
 
 
 def _confirmed(size: int, percent: int):
-    """Pairs whose full sets reach the threshold."""
+    """Pairs whose full sets, of shingles told apart exactly, reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(pieces(batches, "text_a"), "text_b"):
-            (x, at), (y, to) = (shingle_sets(Words(batch.column(c), lower=True), size) for c in ("text_a", "text_b"))
+            n = batch.num_rows
+            x, at = exact_shingles(Words(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]), lower=True), size)
             good = []
-            for i in range(batch.num_rows):
-                p, q = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+            for i in range(n):
+                p, q = x[at[i] : at[i + 1]], x[at[n + i] : at[n + i + 1]]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(bool(both) and 100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         discard(full)
         return found
 
-    # Classes of equal sets; the smallest doc_id stands for its class.
+    # Classes of equal word sequences; the smallest doc_id stands for its class.
     one = F.min(F.struct("doc_id", "bands", "odd", "parity")).alias("one")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(one).select("f1", "f2", "n_shingles", "one.*")
     classes = materialize(classes.withColumnRenamed("doc_id", "rep"), "classes")
@@ -258,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     discard(shared)
     star = met.where("id <> center").groupBy(F.col("id").alias("b")).agg(F.max("best").alias("best")).select((-F.col("best.back")).alias("a"), "b")
     links = confirmed(sketched_pairs(star))
-    # Sets of rows that share a doc_id belong together.
+    # Texts of rows that share a doc_id belong together.
     ways = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = member.join(ways.select("doc_id", "a").hint("merge"), "doc_id").select("a", F.col("rep").alias("b"))
     parts = connected_components(links.unionByName(same))

@@ -8,8 +8,8 @@ and the decoded text against the normalised text (``round_trip``).
 
 Where no piece of the model goes from another character into a marker, ids cannot reach over the begin of a word: a text's
 ids are those of its cuts (a run of spaces and what follows), put together. Then each distinct cut of a batch is encoded
-once by either library and compared, and many are remembered, instead of every occurrence. Other models, and texts with the
-marker itself, are encoded and compared as whole texts.
+once by either library and compared, and many are remembered, instead of every occurrence; cuts are told apart by their bytes
+(of more than 16, by 128 bits of blake2b). Other models, and texts with the marker itself, are encoded and compared as whole texts.
 
 Edge cases: a null or empty text has no ids, decodes to the empty text and counts as in parity; control pieces such as
 ``<s>`` or ``<0x0A>`` written in a text are ordinary characters; the marker U+2581 written in a text reads as a space.
@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, flat, pieces, span_names, table
+from .base import bounded_batches, digests, flat, identities, named, numbered, pieces, table
 
 MARK = "▁"
 #: Bytes of text encoded in one call, and threads that a worker's calls use.
@@ -214,8 +214,9 @@ class Codec:
         self.plain = not model.charsmap and not model.collapse_spaces
         #: Whether texts can be cut as bytes: then a cut begins at each run of spaces.
         self.by_bytes = self.plain and separable(model)
-        #: Remembered cuts, by name: how many ids, where they stand in the pool, and whether sentencepiece agrees.
-        self.names, self.counts, self.at, self.agrees = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        #: Remembered cuts, by name: their identities, how many ids, where they stand in the pool, and whether sentencepiece agrees.
+        self.names, self.lo, self.hi = (np.zeros(0, np.uint64) for _ in range(3))
+        self.counts, self.at, self.agrees = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.pool = np.zeros(0, np.int32)
 
     def normalise(self, text: str) -> str:
@@ -260,10 +261,17 @@ class Codec:
         leads = np.zeros(len(data), bool)
         leads[texts] = True
         leads = leads[starts]
-        names, at, back = np.unique(span_names(data, starts, ends) + leads.astype(np.uint64), return_index=True, return_inverse=True)
+        lo, hi = identities(data, starts, ends)
+        # A text's first cut gets the dummy prefix, so it is another one; no text holds a byte 255.
+        raw = data.tobytes()
+        first = digests(b"\xff" + raw[a:b] for a, b in zip(starts[leads].tolist(), ends[leads].tolist(), strict=True)).view(np.uint64)
+        lo[leads], hi[leads] = first.T
+        names = named(lo, hi)
+        at, back = numbered(names, lo, hi)
+        names, lo, hi = names[at], lo[at], hi[at]
         place = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
-        hit = self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
-        raw, prefix = data.tobytes(), MARK if self.model.dummy_prefix else ""
+        hit = (self.names[place] == names) & (self.lo[place] == lo) & (self.hi[place] == hi) if len(self.names) else np.zeros(len(names), bool)
+        prefix = MARK if self.model.dummy_prefix else ""
         cuts = [(prefix if leads[i] else "") + raw[starts[i] : ends[i]].decode().replace(" ", MARK) for i in at[~hit].tolist()]
         new = [e.ids for e in self.cut.encode_batch_fast(cuts, add_special_tokens=False)]
         theirs = self.theirs.encode([c[len(prefix) :].replace(MARK, " ") for c in cuts], num_threads=1)
@@ -281,8 +289,8 @@ class Codec:
         ids = pool[np.repeat(where[back] - stops[:-1], per_cut) + np.arange(stops[-1])]
         if len(self.names) < CACHED:
             order = np.argsort(np.concatenate([self.names, names[~hit]]))
-            both = ((self.names, names), (self.counts, counts), (self.at, where), (self.agrees, agrees))
-            self.names, self.counts, self.at, self.agrees = (np.concatenate([x, y[~hit]])[order] for x, y in both)
+            both = ((self.names, names), (self.lo, lo), (self.hi, hi), (self.counts, counts), (self.at, where), (self.agrees, agrees))
+            self.names, self.lo, self.hi, self.counts, self.at, self.agrees = (np.concatenate([x, y[~hit]])[order] for x, y in both)
             self.pool = pool
         good = np.ones(len(offsets) - 1, bool)
         good[np.searchsorted(offsets, starts[~agrees[back]], "right") - 1] = False

@@ -9,7 +9,8 @@ window covers whose word sequence also starts in a document with a smaller doc_i
    alone, and a symbol whose cone lies in a window occurs wherever the window does. One grouped minimum and maximum over
    all symbols shows the names that two documents share.
 3. A window can only repeat if every symbol with its cone inside it is shared. Such windows, and the few that hold no
-   symbol's cone, are named by 128 bits of their words; the smallest doc_id of each name decides exactly.
+   symbol's cone, are told apart by 128 bits of blake2b of the words themselves, as are whole texts in step 1; the smallest
+   doc_id of each window decides.
 
 Edge cases: a null or empty text has no words; a text shorter than a window stays; rows with a null doc_id neither lose
 words nor take them from others; rows that share a doc_id never take words from each other; repeated rows are treated
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, bounded_batches, discard, materialize, pieces, signed, table
+from .base import Words, bounded_batches, digests, discard, materialize, pieces, table
 from .recompress import inside, per_window, recompress
 
 SIZE = 50
@@ -47,8 +48,17 @@ def _valid(words: Words, size: int) -> np.ndarray:
     return np.arange(n) + size <= words.first[words.owner() + 1] if n else np.zeros(0, bool)
 
 
-def _tags(words: Words) -> np.ndarray:
-    return (words.whole() & np.uint64(0x7FFFFFFF)).astype(np.int32)
+def _window_prints(words: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """128 bits of blake2b of the windows that begin at some words: of their words, joined by one space."""
+    joined = np.frombuffer(b" ".join(words.texts()), np.uint8)
+    lengths = words.ends - words.starts
+    # Each word and one space after it, and one more space after a text without words.
+    gaps = np.zeros(len(lengths) + 1, np.int64)
+    np.add.at(gaps, words.first[:-1][words.counts == 0], 1)
+    starts = np.concatenate(([0], np.cumsum(lengths + 1))) + np.cumsum(gaps)
+    raw = memoryview(joined)
+    last = at + size - 1
+    return digests(raw[a:b] for a, b in zip(starts[at].tolist(), (starts[last] + lengths[last]).tolist(), strict=True))
 
 
 def _symbols(size: int, rounds: tuple[str, ...]):
@@ -63,8 +73,9 @@ def _symbols(size: int, rounds: tuple[str, ...]):
             name, owner = s.name[good][order], s.owner[good][order]
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+            prints = words.fingerprints()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words.counts), signed(words.whole()), signed(words.whole(second=True)), pa.array(has_bare), _lists(name[new].view(np.int64), owner[new], batch.num_rows)],
+                [batch.column("doc_id"), pa.array(words.counts), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(has_bare), _lists(name[new].view(np.int64), owner[new], batch.num_rows)],
                 ["doc_id", "n_words", "f1", "f2", "bare", "names"],
             )
 
@@ -76,7 +87,8 @@ def _windows(size: int, rounds: tuple[str, ...]):
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
             # A doc_id may come with several texts: the class's own text has its fingerprint.
-            mine = words.whole().view(np.int64) == batch.column("f1").to_numpy()
+            tags = words.fingerprints()[:, 0]
+            mine = tags == batch.column("f1").to_numpy()
             s = recompress(words.names, words.first, rounds)
             good = inside(s, size)
             n = len(words.names)
@@ -86,9 +98,9 @@ def _windows(size: int, rounds: tuple[str, ...]):
             ask = np.flatnonzero(_valid(words, size) & mine[owner] & (per_window(s, good, size, n) == per_window(s, shared, size, n)))
             of = owner[ask]
             ids = batch.column("doc_id").to_numpy()
-            tags = _tags(words)
+            prints = _window_prints(words, ask, size)
             yield pa.RecordBatch.from_arrays(
-                [signed(words.windows(size)[ask]), signed(words.windows(size, second=True)[ask]), pa.array(ids[of]), pa.array(tags[of]), pa.array((ask - words.first[of]).astype(np.int32))],
+                [pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(ids[of]), pa.array(tags[of]), pa.array((ask - words.first[of]).astype(np.int32))],
                 ["w1", "w2", "doc_id", "tag", "pos"],
             )
 
@@ -99,7 +111,7 @@ def _trimmed(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
-            tags = _tags(words)
+            tags = words.fingerprints()[:, 0].tolist()
             kept, n_words, n_removed = [], [], []
             for text, tag, cuts in zip(batch.column("text").to_pylist(), tags, batch.column("__cuts").to_pylist(), strict=True):
                 own = (text or "").encode().split()
@@ -132,7 +144,7 @@ def removals(docs: DataFrame, size: int = SIZE, rounds: tuple[str, ...] = ROUNDS
     classes = materialize(known.groupBy("f1", "f2", "n_words").agg(one).select("f1", "f2", "n_words", "one.*"), "classes")
     keys = ["f1", "f2", "n_words"]
     copies = known.select("doc_id", *keys).join(classes.select(*keys, F.col("doc_id").alias("rep")).hint("merge"), keys)
-    copies = materialize(copies.where("doc_id > rep").select("doc_id", F.col("f1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag")).distinct(), "copies")
+    copies = materialize(copies.where("doc_id > rep").select("doc_id", F.col("f1").alias("tag")).distinct(), "copies")
     discard(known)
 
     named = classes.select("doc_id", "f1", F.explode("names").alias("name"))
@@ -144,7 +156,7 @@ def removals(docs: DataFrame, size: int = SIZE, rounds: tuple[str, ...] = ROUNDS
     asked = materialize(asked, "asked")
     discard(classes)
 
-    windows = texts.join(asked.hint("merge"), "doc_id").mapInArrow(_windows(size, rounds), "w1 long, w2 long, doc_id long, tag int, pos int")
+    windows = texts.join(asked.hint("merge"), "doc_id").mapInArrow(_windows(size, rounds), "w1 long, w2 long, doc_id long, tag long, pos int")
     windows = materialize(windows, "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     first = materialize(first, "first")

@@ -47,7 +47,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(words.ends - words.starts > k) if k else np.arange(len(words.starts))
         start = words.starts[some]
         end = start + k if k else words.ends[some]
-        parts.append(mix(span_names(words.data, start, end, lower=True) + np.uint64(k)) >> np.uint64(64 - BITS))
+        parts.append(mix(span_names(words.data, start, end) + np.uint64(k)) >> np.uint64(64 - BITS))
         owners.append(owner[some])
     pair = np.unique((np.concatenate(owners).astype(np.uint64) << np.uint64(BITS)) | np.concatenate(parts))
     return (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)

@@ -51,3 +51,7 @@ def made_docs(seed=1, n=60):
     return list(zip(ids, texts, strict=True))
 
 
+def thue_morse(length):
+    """A word over two letters and its complement: polynomial hashes modulo a power of two confuse them."""
+    bits = [bin(k).count("1") & 1 for k in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_conftest import shingles, words
+from llm_conftest import shingles, thue_morse, words
 
 from readloom.llm import base
 from readloom.llm.base import PIECE_BYTES, Words, flat, pieces, shingle_sets
@@ -17,7 +18,7 @@ def test_words(texts):
     for lower in (False, True):
         w = Words(pa.array(texts, pa.string()), lower)
         got = [bytes(w.data[a:b]).decode() for a, b in zip(w.starts, w.ends, strict=True)]
-        wanted = [words(t) for t in texts]
+        wanted = [words(t, lower) for t in texts]
         assert got == [x for own in wanted for x in own]
         assert w.counts.tolist() == [len(x) for x in wanted]
         named = {}
@@ -40,20 +41,51 @@ def test_shingles(texts):
 
 def test_whole_and_slices():
     column = pa.array(["zz", "a b", None, "a  b", "a b c", "ab"])
-    w = Words(column.slice(1), False)
-    one, two = w.whole(), w.whole(second=True)
-    assert one[0] == one[2] != one[3]
-    assert two[0] == two[2] != two[4]
+    prints = Words(column.slice(1), False).fingerprints().tolist()
+    assert prints[0] == prints[2]
+    assert len({tuple(p) for p in prints}) == 4
     data, offsets = flat(column.slice(1))
     assert offsets.tolist() == [0, 3, 3, 7, 12, 14]
     assert bytes(data) == b"a ba  ba b cab"
 
 
-def test_long_texts_have_the_same_names(monkeypatch):
-    text = "some words and a " + "x" * 90 + " long one, again some words"
-    whole = Words(pa.array([text, "b", text]), False)
-    monkeypatch.setattr(base, "SPAN_BYTES", 16)
-    assert Words(pa.array([text, "b", text]), False).names.tolist() == whole.names.tolist()
+def test_words_that_polynomial_hashes_confuse_are_told_apart():
+    for length in (16, 17, 1024, 2048):
+        one, two = thue_morse(length)
+        w = Words(pa.array([one, two, f"x{one} {one}", " ".join(one), " ".join(two)]), False)
+        assert len({*w.names[:4].tolist()}) == 3  # one, two, the one with an x
+        assert len({*zip(w.lo[:4].tolist(), w.hi[:4].tolist(), strict=True)}) == 3
+        prints = w.fingerprints().tolist()
+        assert prints[3] != prints[4]
+
+
+def test_names_that_clash_are_told_apart():
+    column = pa.array(["a b c a", "b b", "a", "c d a b"])
+    w = Words(column, False)
+    first, back = base.numbered(w.names, w.lo, w.hi)
+    clash = base.numbered(np.zeros(len(w.names), np.uint64), w.lo, w.hi)
+    for f, b in ((first, back), clash):
+        assert len(f) == 4
+        assert [bytes(w.data[w.starts[f[k]] : w.ends[f[k]]]) for k in b] == [x.encode() for t in column.to_pylist() for x in t.split()]
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXTS, st.integers(1, 5))
+def test_exact_shingles(texts, size):
+    numbers, offsets = base.exact_shingles(Words(pa.array(texts, pa.string()), True), size)
+    sets = [shingles(t, size) for t in texts]
+    assert np.diff(offsets).tolist() == [len(s) for s in sets]
+    got = [set(numbers[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert all(len(got[i] & got[j]) == len(sets[i] & sets[j]) for i in range(len(texts)) for j in range(i))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 40))
+def test_windows(letters, size):
+    names = Words(pa.array([" ".join("abc"[k] for k in letters)]), False).windows(size)
+    wanted = [tuple(letters[i : i + size]) for i in range(len(letters) - size + 1)]
+    assert len(names) == len(wanted)
+    assert len(set(zip(names.tolist(), wanted, strict=True))) == len(set(names.tolist())) == len(set(wanted))
 
 
 def test_pieces():

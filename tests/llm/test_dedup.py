@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_conftest import LOWER, made_docs, shingles, words
+from llm_conftest import LOWER, made_docs, shingles, thue_morse, words
 
 from readloom.llm import components, decontaminate, line_dedup, near_dedup, recompress, substring_dedup
 
@@ -91,6 +91,20 @@ def test_substrings_in_small_alphabets(spark):
     assert got == substrings_by_hand(rows)
 
 
+@pytest.mark.parametrize("length", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse(spark, length):
+    """As words, and as sequences of short words: neither removed nor linked for being the other one."""
+    one, two = thue_morse(length)
+    rows = [(1, " ".join([one, *(f"w{i}" for i in range(63))])), (2, " ".join([two, *(f"w{i}" for i in range(63))])), (3, " ".join(one)), (4, " ".join(two)), (5, " ".join([one] * 70)), (6, " ".join([two] * 70)), (7, one), (8, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == substrings_by_hand(rows)
+    assert got[2][2] == 63
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 85, 32, 5).collect()}
+    assert got == near_by_hand(rows, 3, 85)
+    assert got[6][2] and got[8][2]
+
+
 def test_substring_edges(spark, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
     t = " ".join(f"w{i}" for i in range(60))

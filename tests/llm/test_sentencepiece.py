@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_conftest import thue_morse
+
 from readloom.llm import sentencepiece_codec as S
 
 
@@ -35,6 +37,28 @@ def test_columns_of_texts(codec, texts):
     assert codec.decode_column(ids, ends).to_pylist() == [(t or "").replace(S.MARK, " ") for t in texts]
 
 
+@pytest.mark.parametrize("length", [16, 1024, 2048])
+def test_words_that_polynomial_hashes_confuse(codec, length):
+    one, two = thue_morse(length)
+    texts = [f"{one} x {two}", f"{two} x {one}", two, one, f"{one} {one}"]
+    for _ in range(2):  # the second time from memory
+        ids, ends, agrees = codec.encode_column(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == codec.theirs.encode(texts)
+        assert agrees.all()
+        assert codec.decode_column(ids, ends).to_pylist() == texts
+
+
+def test_cuts_with_one_name_are_told_apart(monkeypatch):
+    monkeypatch.setattr(S, "named", lambda lo, hi: lo & S.np.uint64(1))
+    with open(S.default_model(), "rb") as f:
+        codec = S.Codec(f.read())
+    texts = ["the cat sat on the mat", "a cat", "sat the", "the cat sat on the mat", "  mat  "]
+    for _ in range(2):
+        ids, ends, agrees = codec.encode_column(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == codec.theirs.encode(texts)
+        assert agrees.all()
+
+
 def test_disagreement_shows():
     with open(S.default_model(), "rb") as f:
         codec = S.Codec(f.read())
