@@ -4,12 +4,12 @@ A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A
 ``min_chars`` code points that at least ``min_docs`` documents hold lose all their lines, except in the largest doc_id
 that holds the key. Other lines stay in place, joined by a line feed.
 
-Edge cases: a null or empty text is one empty line; every row counts as a document, also rows that share a doc_id (the
-decision for a key is per doc_id, so such rows keep or lose it together); a null doc_id is smaller than all others;
+Edge cases: a null or empty text is one empty line; rows that share a doc_id are one document, counted once a key, and keep or
+lose a key together; a row with a null doc_id is no document: its lines do not count, and all stay;
 an empty table gives an empty result; other columns pass through untouched, and clashing names are replaced.
 
-Scale: only (doc_id, 128-bit key) rows are exploded and shuffled, once per document and key; counts are combined on the
-map side, so a line found in a third of all documents is a handful of rows per task. The keys over the
+Scale: only (doc_id, 128-bit key) rows are exploded and shuffled, once per document and key. They are made distinct by both columns, so
+a line found in a third of all documents is spread over all tasks, and then counted with sums combined on the map side. The keys over the
 threshold are written and come back by a join that Spark may split where a key is hot; texts move once, to meet their own list of keys to drop
 (by a merge join at every size, so that the plan does not change with the input).
 """
@@ -74,12 +74,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with ``text`` reduced to its kept lines, and ``n_lines`` and ``n_dropped``."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "__drop", "__of")
-    lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_exploded(min_chars), "doc_id long, key binary")
-    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
+    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_exploded(min_chars), "doc_id long, key binary")
+    # Distinct by (doc_id, key) first: rows that share a doc_id are one document.
+    often = lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     often = materialize(often, "often")
-    gone = lines.join(often.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    gone = lines.join(often.hint("merge"), "key").where(F.col("doc_id") != F.col("keep"))
     drops = materialize(gone.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__drop")), "lines")
-    met = docs.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left").drop("__of")
+    met = docs.join(drops.hint("merge"), F.col("doc_id").cast("long") == F.col("__of"), "left").drop("__of")
     names = [*docs.columns, "n_lines", "n_dropped"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
     return met.mapInArrow(_reassembled(min_chars, names), kinds)
@@ -98,7 +99,7 @@ WITH l AS (
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 h AS (SELECT k, max(doc_id) AS keep FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT l.*, h.k IS NOT NULL AND l.doc_id <> h.keep AS gone FROM l LEFT JOIN h ON l.k = h.k)
+m AS (SELECT l.*, coalesce(h.k IS NOT NULL AND l.doc_id <> h.keep, false) AS gone FROM l LEFT JOIN h ON l.k = h.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id

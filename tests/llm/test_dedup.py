@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,7 +49,25 @@ def test_line_edges(spark, empty):
     rows = [(1, long, 7), (1, long, 8), (2, f"a\n{long} \n\n", 9), (None, long, 1), (None, None, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
     got = sorted((r.doc_id or -1, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
-    assert got == [(-1, "", 1, 0), (-1, "", 1, 1), (1, "", 1, 1), (1, "", 1, 1), (2, f"a\n{long} \n\n", 4, 0)]
+    # Two documents hold the line: the repeated row and the one without a doc_id are no more.
+    assert got == [(-1, "", 1, 0), (-1, long, 1, 0), (1, long, 1, 0), (1, long, 1, 0), (2, f"a\n{long} \n\n", 4, 0)]
+    rows += [(3, long, 0)]
+    got = sorted((r.doc_id or -1, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, df.schema)).collect())
+    assert got == [(-1, "", 0), (-1, long, 0), (1, "", 1), (1, "", 1), (2, "a\n\n", 1), (3, long, 0)]
+
+
+def test_lines_of_repeated_documents_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [r for r in made_docs(11, 60)]
+    rows += [(d, t) for d, t in rows if d % 4 == 0]
+    got = {}
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        n, dropped = got.get(r.doc_id, (0, 0))
+        got[r.doc_id] = (n + r.n_lines, dropped + r.n_dropped)
+    documents = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})  # noqa: F841
+    wanted = {d: (n, dropped) for d, n, dropped, _ in duckdb.sql(line_dedup.SQL).fetchall()}
+    assert got == wanted
+    assert sum(x[1] for x in wanted.values()) > 5
 
 
 # --- substrings -----------------------------------------------------------------------------------------------------
