@@ -4,15 +4,20 @@ Markup is stripped to lines of text, one a block; menus, headers, footers, sideb
 styles and comments go with their elements, but no layout container that holds the main text. A line's weight is its
 text outside links. Sums of weights over ``WINDOW`` lines then form a distribution along the page: it surges where the main text begins and dives where it ends (a short last sentence is added).
 The text between a surge and its dive is a stretch; stretches are joined with the lines between them (lists, verse, short
-rows) unless these are mostly links, and the heaviest joined text is kept whole, with its short lines. Where the page
-marks its article (``article``, ``main``), all lines of these elements are kept, linked or not, so that short articles
-stay whole and heavy text outside does not win.
+rows) unless these are mostly links, and the heaviest joined text is kept whole, with its short lines.
+
+Elements that mark an article (``article``, ``main``) come in as a prior. Windows do not reach over their edges, and each of
+their lines, linked or not, weighs ``SURGE_CHARS`` more, which is enough to surge: so a short article stays whole, and one
+element is kept from its first line to its last. All marked stretches are kept, unless the page has several articles (as
+lists of teasers have) and a stretch outside weighs more than ``PRIOR`` times all of them: then that is the text.
 
 Edge cases: a null or empty page, or one of markup alone, gives the empty text; unclosed elements end with the page (an
-unclosed boilerplate element is not believed, unless it is a script or style); broken references stay as they are; other
+unclosed boilerplate element is not believed, unless it is a script or style); a tag that does not end is text; once a tag's
+quotes do not close, quotes in the rest of the page do not hide a ``>``; broken references stay as they are; other
 columns pass through, clashing names are replaced.
 
-Scale: a row-wise map with no shuffle; one page is held at a time.
+Scale: a row-wise map with no shuffle; one page is held at a time. Time is linear in the page's length, also for broken pages:
+what is once sought in vain up to the page's end is not sought again.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,8 @@ from .base import bounded_batches, pieces, table
 
 #: Lines of a window, and the share of the largest window sum (at most so many characters) at which text surges.
 WINDOW, SURGE_SHARE, SURGE_CHARS = 3, 0.2, 80
+#: How much heavier than all of several marked articles a stretch outside must be to be the text.
+PRIOR = 4
 
 # Fixed values of HTML: elements whose text is never prose, boilerplate elements, blocks, and elements without an end.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "xmp"}
@@ -41,8 +49,11 @@ _NAMES = re.compile(
     r"ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-bar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|warning|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|copyright|legal|disclaimer|complementary|contentinfo|search|pagination|pager|tags?|toolbar",
     re.IGNORECASE,
 )
-_PLACES = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|upper|lower|list|links?|item|box|bar|block|area|section|container|wrap|wrapper|inner|unit|slot|posts|icons?|buttons?|form|widgets|\d+", re.IGNORECASE)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+_PLACES = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|upper|lower|list|links?|item|box|bar|block|area|section|container|wrap|wrapper|inner|unit|slot|posts?|article|entry|story|users?|readers?|visitors?|icons?|buttons?|form|widgets|\d+", re.IGNORECASE)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/<>]*)|!--|[!?/])")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Elements whose inside is no markup, with what begins their end tags.
+_OPAQUE = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in ("script", "style", "textarea", "title", "xmp", "iframe", "noscript")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WHITE = re.compile(r"\s+")
@@ -112,26 +123,45 @@ def _skipped(page: str, tags: list[tuple[int, int, str, bool, str]], ends: dict[
         own, total = held(left, skip - never), left.sum()
         skip -= {i for i, n in held(marks, skip - never).items() if n and 2 * own[i] > total}
     left = text * ~covered(i for i in skip if kinds[i] != "part")
-    skip -= {i for i, n in held(left, [i for i in skip if kinds[i] == "part"]).items() if 2 * n > left.sum()}
+    total = left.sum()
+    skip -= {i for i, n in held(left, [i for i in skip if kinds[i] == "part"]).items() if 2 * n > total}
     if not (text * ~covered(skip)).any():
         left = text * ~covered(i for i in skip if kinds[i] in ("never", "tag"))
-        skip -= {i for i, n in held(left, [i for i in skip if kinds[i] in ("name", "part")]).items() if 2 * n > left.sum()}
+        total = left.sum()
+        skip -= {i for i, n in held(left, [i for i in skip if kinds[i] in ("name", "part")]).items() if 2 * n > total}
     return skip
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(start, end, name, closing, attributes); comments and declarations have no name. Raw elements end at their end tag."""
-    at = 0
+    at, quotes_close, endless = 0, True, set()
     while found := _TAG.search(page, at):
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
-        closing, attrs = bool(found[1] or found[4]), found[3] or found[6] or ""
-        yield found.start(), at, name, closing, attrs
-        if name in ("script", "style", "textarea", "title", "xmp", "iframe", "noscript") and not closing and not attrs.endswith("/"):
-            end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(page, at)
-            if end is None and name not in ("script", "style"):
+        start, at = found.span()
+        if page.startswith("<!--", start):
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        end = page.find(">", at)
+        if end < 0:
+            return  # no tag ends any more
+        name, closing = (found[2] or "").lower(), bool(found[1])
+        attrs = page[at:end] if name else ""
+        if quotes_close and ('"' in attrs or "'" in attrs):
+            whole = _ATTRS.match(page, at)
+            quotes_close = whole is not None
+            if whole:
+                end = whole.end() - 1
+                attrs = page[at:end]
+        at = end + 1
+        yield start, at, name, closing, attrs
+        if name in _OPAQUE and not closing and not attrs.endswith("/"):
+            last = None if name in endless else _OPAQUE[name].search(page, at)
+            end = page.find(">", last.end()) if last else -1
+            if end < 0 and name not in ("script", "style"):
+                endless.add(name)
                 continue
-            start, at = end.span() if end else (len(page), len(page))
+            start, at = (last.start(), end + 1) if end >= 0 else (len(page), len(page))
             yield start, at, name, True, ""
 
 
@@ -196,15 +226,17 @@ def _lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def spans(weights: np.ndarray, closes: list[bool]) -> list[tuple[int, int]]:
+def window_sums(weights: np.ndarray) -> np.ndarray:
+    """For each line, the weights of the window of ``WINDOW`` lines (fewer at the end) that begins at it."""
+    sums = np.append(0, np.cumsum(weights))
+    at = np.arange(len(weights))
+    return sums[np.minimum(at + WINDOW, len(weights))] - sums[at]
+
+
+def spans(weights: np.ndarray, closes: list[bool], limit: float) -> list[tuple[int, int]]:
     """(surge, dive) of each stretch of the distribution of window sums; a dive is one past the last line kept."""
-    n = len(weights)
-    if not n or not weights.any():
-        return []
-    ahead = np.convolve(weights, np.ones(WINDOW, np.int64))
-    sums = ahead[WINDOW - 1 :]  # of the window that begins at a line
-    limit = min(SURGE_CHARS, SURGE_SHARE * sums.max())
-    out, i = [], 0
+    sums = window_sums(weights)
+    n, out, i = len(weights), [], 0
     while i < n:
         if sums[i] < limit or not weights[i]:
             i += 1
@@ -234,19 +266,34 @@ def _joined(found: list[tuple[int, int]], lines: list[tuple[str, int, int]]) ->
     return out
 
 
+def chosen(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The stretches of lines that are the main text: of (text, characters in links, number of the main element or -1)."""
+    if not lines:
+        return []
+    marked = np.array([m >= 0 for _, _, m in lines])
+    weights = np.array([len(t) - k for t, k, _ in lines], np.int64) + SURGE_CHARS * marked
+    closes = [t.rstrip("\"')\u201d\u2019\u00bb").endswith((".", "!", "?", "\u2026", "\u3002")) for t, _, _ in lines]
+    edges = [0, *(np.flatnonzero(marked[1:] != marked[:-1]) + 1).tolist(), len(lines)]
+    parts = list(pairwise(edges))
+    limit = min(SURGE_CHARS, SURGE_SHARE * max(window_sums(weights[a:b]).max() for a, b in parts))
+    if not limit:
+        return []
+    inside, outside = [], []
+    for a, b in parts:
+        found = _joined([(a + x, a + y) for x, y in spans(weights[a:b], closes[a:b], limit)], lines)
+        (inside if marked[a] else outside).extend(found)
+    weight = lambda s: int(weights[s[0] : s[1]].sum())
+    best = max(outside, key=lambda s: (weight(s), -s[0]), default=None)
+    several = len({m for _, _, m in lines if m >= 0}) > 1
+    if inside and not (several and best and weight(best) > PRIOR * sum(map(weight, inside))):
+        return inside
+    return [best] if best else []
+
+
 def extract_text(page: str | None) -> str:
     """The main text of a page."""
     lines = _lines(page or "")
-    marked = [t for t, _, m in lines if m >= 0]
-    if marked:
-        return " ".join(marked)
-    weights = np.array([len(t) - k for t, k, _ in lines], np.int64)
-    closes = [t.rstrip("\"')\u201d\u2019\u00bb").endswith((".", "!", "?", "\u2026", "\u3002")) for t, _, _ in lines]
-    found = _joined(spans(weights, closes), lines)
-    if not found:
-        return ""
-    a, b = max(found, key=lambda s: (weights[s[0] : s[1]].sum(), -s[0]))
-    return " ".join(t for t, _, _ in lines[a:b])
+    return " ".join(t for a, b in chosen(lines) for t, _, _ in lines[a:b])
 
 
 def _rows(kept: list[str]):
