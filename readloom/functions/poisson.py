@@ -9,45 +9,59 @@ import numpy as np
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
+#: Relative change at which a sum or fraction counts as settled, and a guard that raises.
+SETTLED, MOST_STEPS = 4 * np.finfo(float).eps, 10_000_000
+
+
+def _series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sum of x**k / (a (a + 1) ... (a + k)), which has only positive terms."""
+    out = 1 / a
+    term, total, at = out.copy(), out.copy(), np.arange(len(a))
+    for k in range(1, MOST_STEPS):
+        if not len(at):
+            return out
+        term = term * x / (a + k)
+        total = total + term
+        done = term <= total * 1e-17
+        if done.any():
+            out[at[done]] = total[done]
+            a, x, term, total, at = (v[~done] for v in (a, x, term, total, at))
+    raise ArithmeticError(f"the series did not settle in {MOST_STEPS} steps for a={a}, x={x}")
+
+
+def _fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the upper function by Lentz's method; rows leave the loop as they settle."""
+    out, at = np.empty(len(a)), np.arange(len(a))
+    b = x + 1 - a
+    c, d = np.full(len(a), 1e300), 1 / b
+    h = d.copy()
+    for k in range(1, MOST_STEPS):
+        if not len(at):
+            return out
+        an = -k * (k - a)
+        b = b + 2
+        d, c = an * d + b, b + an / c
+        d, c = (np.where(np.abs(v) < 1e-300, 1e-300, v) for v in (d, c))
+        d = 1 / d
+        step = d * c
+        h = h * step
+        done = np.abs(step - 1) <= SETTLED
+        if done.any():
+            out[at[done]] = h[done]
+            a, b, c, d, h, at = (v[~done] for v in (a, b, c, d, h, at))
+    raise ArithmeticError(f"the fraction did not settle in {MOST_STEPS} steps for a={a}")
+
+
 def gamma_parts(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Regularised incomplete gamma functions (lower, upper) for a >= 1, x > 0: a series below a + 1, else a fraction."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     lower, upper = np.zeros(a.shape), np.zeros(a.shape)
     front = np.exp(-x + a * np.log(x) - _LGAMMA(a))
     low = x < a + 1
-    if low.any():
-        p, q = a[low], x[low]
-        term = total = 1 / p
-        k = 0
-        while True:
-            k += 1
-            term = term * q / (p + k)
-            total = total + term
-            if (term <= total * 1e-17).all():
-                break
-        lower[low] = total * front[low]
-        upper[low] = 1 - lower[low]
-    high = ~low
-    if high.any():
-        p, q = a[high], x[high]
-        b = q + 1 - p
-        c, d = np.full(p.shape, 1e300), 1 / b
-        h = d.copy()
-        k = 0
-        while True:
-            k += 1
-            an = -k * (k - p)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-            step = d * c
-            h = h * step
-            if (np.abs(step - 1) < 1e-16).all() or k > 100_000:
-                break
-        upper[high] = front[high] * h
-        lower[high] = 1 - upper[high]
+    lower[low] = _series(a[low], x[low]) * front[low]
+    upper[low] = 1 - lower[low]
+    upper[~low] = _fraction(a[~low], x[~low]) * front[~low]
+    lower[~low] = 1 - upper[~low]
     return np.clip(lower, 0, 1), np.clip(upper, 0, 1)
 
 

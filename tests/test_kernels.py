@@ -109,3 +109,19 @@ def test_ladder():
     p = pvalue_ladder([5, 1, 5, 5, 1], [False, True, True, True, True], [0.1, 0.1, 0.1, 0.0, 0.1], [1, 1, 0, 1, 1], 10, [False, False, False, False, True])
     assert p[:4].tolist() == [1, 1, 1, 0]
     assert p[4] == pytest.approx(1 - naive.poisson_cdf(0, 1.0))
+
+
+def test_tails_settle_in_few_steps(monkeypatch):
+    from readloom.functions import poisson
+
+    monkeypatch.setattr(poisson, "MOST_STEPS", 1000)
+    n = np.array([1, 2, 3, 17, 150, 900, 5000, 20_000, 377_368], float)
+    for scale in (1e-6, 1e-3, 0.2, 0.9, 0.9999, 1.0001, 1.1, 2, 30):
+        near = n <= 20_000 if 0.9 <= scale <= 1.1 else n > 0
+        low, high = gamma_parts(n[near], n[near] * scale)
+        assert np.all((low >= 0) & (high >= 0) & (np.abs(low + high - 1) < 1e-12))
+    monkeypatch.setattr(poisson, "MOST_STEPS", 3)
+    with pytest.raises(ArithmeticError):
+        gamma_parts(np.array([50.0]), np.array([49.0]))
+    with pytest.raises(ArithmeticError):
+        gamma_parts(np.array([50.0]), np.array([60.0]))
