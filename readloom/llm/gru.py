@@ -14,8 +14,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-WORDS, CLASSES, HIDDEN = 2048, 32, 16
-STREAMS, STEPS = 256, 32
+WORDS, CLASSES, HIDDEN = 2048, 32, 24
+#: Streams in scoring; in training there are fewer, which gives more steps of the weights. Words of a window, and Adam's step size.
+STREAMS, LEARN_STREAMS, STEPS, RATE = 256, 128, 32, 0.01
 PER = WORDS // CLASSES
 #: Ids: words 0 to WORDS - 1, any other word, and the begin of a text (input only).
 OTHER, BEGIN = WORDS, WORDS + 1
@@ -60,12 +61,12 @@ def unpack(flat: np.ndarray) -> Params:
 class Streams:
     """Texts dealt to streams, longest first, each to the shortest stream; the longest stream comes first."""
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray):
+    def __init__(self, ids: np.ndarray, first: np.ndarray, most: int = STREAMS):
         """``ids[first[i]:first[i + 1]]``: the tokens of text i, its end token last."""
         lengths = np.diff(first)
         # No more streams than the longest text leaves full: the rest would wait for it, in memory too.
         full = -(-int(lengths.sum()) // max(1, int(lengths.max(initial=0))))
-        heap = [(0, k) for k in range(min(STREAMS, max(1, full)))]
+        heap = [(0, k) for k in range(min(most, max(1, full)))]
         dealt: list[list[int]] = [[] for _ in heap]
         for i in np.argsort(-lengths, kind="stable").tolist():
             if lengths[i]:
@@ -179,13 +180,13 @@ def score(params: Params, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adam over windows; one pass over whatever texts it is given."""
 
-    def __init__(self, params: Params, rate: float = 0.01):
+    def __init__(self, params: Params, rate: float = RATE):
         self.net, self.rate, self.k = Net(params), rate, 0
         self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> float:
         """Train on some texts; returns their summed loss as met."""
-        streams, loss = Streams(ids, first), 0.0
+        streams, loss = Streams(ids, first, LEARN_STREAMS), 0.0
         h = np.zeros((streams.y.shape[1], HIDDEN), np.float32)
         for a, b, n in streams.windows():
             loss += self._window(streams, a, b, n, h)

@@ -5,7 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from llm_conftest import made_docs, words
+import pyarrow as pa
+from llm_conftest import made_docs, thue_morse, words
 
 from readloom.llm import gru, lm_score
 
@@ -33,6 +34,50 @@ def test_scores(spark, monkeypatch):
     assert sum(g[6] for g in got if g[1]) > 1.1 * sum(g[5] for g in got if g[1])  # not much worse than the base, after a few windows
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 700)
+    rows = [(d, t) for d, t in made_docs(12, 150)] + [(3, "twice"), (3, "twice"), (None, "x y")]
+    assert lm_score.n_shards(sum(len(words(t)) + 1 for _, t in rows)) > 3
+    got = [shown(lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))) for n in (1, 4, 13)]
+    for other in got[1:]:
+        assert [g[:5] for g in other] == [g[:5] for g in got[0]]
+        assert np.allclose([g[5:] for g in other], [g[5:] for g in got[0]], rtol=1e-5)
+
+
+def test_shards():
+    assert [lm_score.n_shards(n) for n in (0, 1, 10**6, 10**6 + 1, 10**8, 2 * 10**13)] == [1, 1, 1, 2, 10, 4473]
+    assert len(lm_score.ROUNDS) == len(lm_score.RATES)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, f"{one} {two} {one}"), (2, two), (3, f"{one} {two}"), (4, "a b")]
+    got = shown(lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")))
+    wanted = base_by_hand(rows)
+    assert [g[:5] for g in got] == [w[:5] for w in wanted]
+    assert np.allclose([g[5] for g in got], [w[5] for w in wanted])
+
+
+def test_a_shard_is_the_plain_loop():
+    """What tasks and averages do, done by hand over two shards in an order of rows."""
+    rng = np.random.default_rng(6)
+    flat = gru.pack(gru.initial(rng.integers(1, 50, gru.WORDS), 500.0))
+    docs = [rng.integers(0, gru.OTHER + 1, n).astype(np.int16) for n in (5, 300, 1, 40)]
+    rows = pa.RecordBatch.from_pydict({"shard": pa.array([0, 0, 1, 1], pa.int32()), "ids": pa.array([d.tobytes() for d in docs], pa.binary())})
+    out = list(lm_score._learned(type("B", (), {"value": flat})(), 0.01)(iter([rows.slice(0, 3), rows.slice(3)])))
+    wanted = []
+    for own in (docs[:2], docs[2:]):
+        trainer = gru.Trainer(gru.unpack(flat), 0.01)
+        trainer.learn(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+        wanted.append((gru.pack(trainer.net.p), sum(map(len, own))))
+    got = pa.Table.from_batches(out).sort_by([("chunk", "ascending"), ("shard", "ascending")])
+    assert set(got.column("weight").to_pylist()) == {305.0, 41.0}
+    means = pa.Table.from_batches(lm_score._averaged(iter(got.to_batches(3)))).sort_by("chunk")
+    mean = np.concatenate([np.frombuffer(m, np.float32) for m in means.column("mean").to_pylist()])
+    assert np.allclose(mean, (wanted[0][0] * 305.0 + wanted[1][0] * 41.0) / 346, atol=1e-6)
+    assert not np.allclose(mean, flat, atol=1e-4)
+
+
 def test_edges(spark):
     rows = [(None, "a b"), (None, None), (5, "A b"), (5, ""), (9, "b " * 3000)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
