@@ -96,72 +96,89 @@ class Streams:
             yield at, min(at + STEPS, len(self.y)), int((self.sizes > at).sum())
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+class Trace(NamedTuple):
+    """What a window's steps leave for the way back, each (steps, streams, H or 2 H): states before, gates, candidates, and the
+    candidates' part of the recurrent input."""
+
+    before: np.ndarray
+    gates: np.ndarray
+    candidate: np.ndarray
+    act: np.ndarray
 
 
 class Net:
     def __init__(self, params: Params):
         self.p = params
 
-    def forward(self, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step, (steps, streams, H)."""
+    def forward(self, x: np.ndarray, begins: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, Trace]:
+        """States after each step, (steps, streams, H), and the trace."""
         p, n = self.p, HIDDEN
-        out = np.empty((*x.shape, n), np.float32)
-        given = p.table[x]
+        given, kind = p.table[x], p.table.dtype
+        gates, candidate = given[..., : 2 * n].copy(), given[..., 2 * n :].copy()
+        out, before, act = (np.empty((*x.shape, n), kind) for _ in range(3))
+        gate_state, candidate_state = p.state[:, : 2 * n].copy(), p.state[:, 2 * n :].copy()
         fresh = begins.any(axis=1)
         for t in range(len(x)):
+            now, g, c, a = before[t], gates[t], candidate[t], act[t]
+            now[:] = h
             if fresh[t]:
-                h = h * ~begins[t][:, None]
-            a = h @ p.state
-            g = given[t]
-            gates = _sigmoid(g[:, : 2 * n] + a[:, : 2 * n])
-            r, z = gates[:, :n], gates[:, n:]
-            c = np.tanh(g[:, 2 * n :] + r * a[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, r, z, c, a[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out
+                now[begins[t]] = 0
+            g += now @ gate_state
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.matmul(now, candidate_state, out=a)
+            c += g[:, :n] * a
+            np.tanh(c, out=c)
+            h = out[t]
+            np.subtract(now, c, out=h)
+            h *= g[:, n:]
+            h += c
+        return out, Trace(before, gates, candidate, act)
 
     def outputs(self, states: np.ndarray, y: np.ndarray, grads: bool = False):
         """Natural log-probability of each token; with ``grads``, also the gradients of the summed loss."""
         p = self.p
         cls = np.minimum(y // PER, CLASSES).astype(np.int64)
-        logits = states @ p.classes + p.class_bias
+        logits = states @ p.classes
+        logits += p.class_bias
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e @ np.ones(CLASSES + 1, e.dtype)
         rows = np.arange(len(y))
-        logp = (logits[rows, cls] - np.log(total)).astype(np.float64)
-        if grads:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            d_states = e @ p.classes.T
-            d_classes, d_class_bias = states.T @ e, e.sum(axis=0)
-            d_words, d_word_bias = np.zeros_like(p.words), np.zeros_like(p.word_bias)
+        logp = logits[rows, cls].astype(np.float64)
+        e = np.exp(logits, out=logits)
+        total = e @ np.ones(CLASSES + 1, e.dtype)
+        logp -= np.log(total)
+        # Words inside their classes: tokens in the order of classes, one product a class, the rest for all at once.
         order = np.argsort(cls.astype(np.int8), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            some = states[own]
-            u = some @ p.words[k] + p.word_bias[k]
-            u -= u.max(axis=1, keepdims=True)
-            eu = np.exp(u)
-            s = eu @ np.ones(PER, eu.dtype)
-            at, word = np.arange(len(own)), y[own] % PER
-            logp[own] += u[at, word] - np.log(s)
-            if grads:
-                eu /= s[:, None]
-                eu[at, word] -= 1
-                d_words[k], d_word_bias[k] = some.T @ eu, eu.sum(axis=0)
-                d_states[own] += eu @ p.words[k].T
-        return (logp, d_states, d_classes, d_class_bias, d_words, d_word_bias) if grads else logp
+        order = order[: cuts[-1]]
+        some, own = states[order], cls[order]
+        word, at = y[order] % PER, np.arange(len(order))
+        u = p.word_bias[own]
+        used = [(k, int(cuts[k]), int(cuts[k + 1])) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
+        for k, a, b in used:
+            u[a:b] += some[a:b] @ p.words[k]
+        u -= u.max(axis=1, keepdims=True)
+        logp[order] += u[at, word]
+        eu = np.exp(u, out=u)
+        s = eu @ np.ones(PER, eu.dtype)
+        logp[order] -= np.log(s)
+        if not grads:
+            return logp
+        e /= total[:, None]
+        e[rows, cls] -= 1
+        d_states = e @ p.classes.T
+        eu /= s[:, None]
+        eu[at, word] -= 1
+        d_words, d_word_bias, d_some = np.zeros_like(p.words), np.zeros_like(p.word_bias), np.empty_like(some)
+        for k, a, b in used:
+            np.matmul(some[a:b].T, eu[a:b], out=d_words[k])
+            np.matmul(eu[a:b], p.words[k].T, out=d_some[a:b])
+        if used:
+            d_word_bias[[k for k, _, _ in used]] = np.add.reduceat(eu, [a for _, a, _ in used], axis=0)
+        d_states[order] += d_some
+        return logp, d_states, states.T @ e, e.sum(axis=0), d_words, d_word_bias
 
 
 def score(params: Params, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -169,7 +186,7 @@ def score(params: Params, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     net, streams = Net(params), Streams(ids, first)
     out, h = np.zeros(len(first) - 1), np.zeros((streams.y.shape[1], HIDDEN), np.float32)
     for a, b, n in streams.windows():
-        states = net.forward(streams.x[a:b, :n], streams.begins[a:b, :n], h[:n])
+        states, _ = net.forward(streams.x[a:b, :n], streams.begins[a:b, :n], h[:n])
         h = states[-1]
         real = np.arange(a, b)[:, None] < streams.sizes[:n]
         logp = net.outputs(states[real], streams.y[a:b, :n][real])
@@ -195,39 +212,41 @@ class Trainer:
     def _window(self, s: Streams, a: int, b: int, n: int, carried: np.ndarray) -> float:
         net, p, size = self.net, self.net.p, HIDDEN
         x, begins = s.x[a:b, :n], s.begins[a:b, :n]
-        keep: list = []
-        states = net.forward(x, begins, carried[:n], keep)
+        states, trace = net.forward(x, begins, carried[:n])
         carried[:n] = states[-1]
         real = np.arange(a, b)[:, None] < s.sizes[:n]
         logp, d_real, d_classes, d_class_bias, d_words, d_word_bias = net.outputs(states[real], s.y[a:b, :n][real], grads=True)
         d_states = np.zeros_like(states)
         d_states[real] = d_real
-        d_in = np.empty((*x.shape, 3 * size), np.float32)
-        d_act = np.empty_like(d_in)
-        back = np.zeros((n, size), np.float32)
+        before, gates, candidate, act = trace
+        r, z = gates[..., :size], gates[..., size:]
+        # How a state's gradient goes into candidate, reset and update inputs, for all steps at once.
+        to_candidate = (1 - z) * (1 - candidate * candidate)
+        to_reset = act * r * (1 - r)
+        to_update = (before - candidate) * z * (1 - z)
+        d_candidate, d_act = np.empty_like(states), np.empty((*x.shape, 3 * size), states.dtype)
+        back = np.zeros((n, size), states.dtype)
         turn = p.state.T.copy()
         fresh = begins.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
-            h, r, z, c, act = keep[t]
+            c, q = d_candidate[t], d_act[t]
             back += d_states[t]
-            d_c = back * (1 - z) * (1 - c * c)
-            d_r = d_c * act * r * (1 - r)
-            d_z = back * (h - c) * z * (1 - z)
-            g, q = d_in[t], d_act[t]
-            g[:, :size], g[:, size : 2 * size], g[:, 2 * size :] = d_r, d_z, d_c
-            q[:, :size], q[:, size : 2 * size] = d_r, d_z
-            np.multiply(d_c, r, out=q[:, 2 * size :])
-            back = back * z + q @ turn
+            np.multiply(back, to_candidate[t], out=c)
+            np.multiply(c, to_reset[t], out=q[:, :size])
+            np.multiply(back, to_update[t], out=q[:, size : 2 * size])
+            np.multiply(c, r[t], out=q[:, 2 * size :])
+            back *= z[t]
+            back += q @ turn
             if fresh[t]:
-                back *= ~begins[t][:, None]
-        held = np.stack([k[0] for k in keep]).reshape(-1, size)
-        d_state = held.T @ d_act.reshape(-1, 3 * size)
+                back[begins[t]] = 0
+        d_state = before.reshape(-1, size).T @ d_act.reshape(-1, 3 * size)
+        d_act[..., 2 * size :] = d_candidate  # now the gradient of the words' rows
         flat_x = x.ravel()
         order = np.argsort(flat_x, kind="stable")
         sorted_x = flat_x[order]
         heads = np.flatnonzero(np.append(True, sorted_x[1:] != sorted_x[:-1]))
         d_table = np.zeros_like(p.table)
-        d_table[sorted_x[heads]] = np.add.reduceat(d_in.reshape(-1, 3 * size)[order], heads, axis=0)
+        d_table[sorted_x[heads]] = np.add.reduceat(d_act.reshape(-1, 3 * size)[order], heads, axis=0)
         self._step((d_table, d_state, d_classes, d_class_bias, d_words, d_word_bias), max(1, len(logp)))
         return -float(logp.sum())
 
