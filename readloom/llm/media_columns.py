@@ -6,7 +6,10 @@ covers the whole value is the value's true type, whatever type was declared; wha
 and can be carved. Magic bytes that no validator confirms are ordinary data.
 
 Formats: WAV (8-bit PCM and other RIFF WAVE), BMP, PNG, GIF, binary PGM. ``store`` writes a payload losslessly as 8-bit
-samples in one of three of them, chosen by the payload's checksum.
+samples in one of three of them, chosen by the payload's checksum. Every other stored form also carries a small medium of its own, a PGM thumbnail of
+the samples, where its format leaves room: an extra RIFF chunk, a gap before a bitmap's pixels, a private PNG chunk. ``declared`` says what
+a careless source would: the right type for half of the payloads, another one for a quarter, none for the rest.
+``media_columns`` stores texts so, then corrects the types, reads the samples back and carves what is embedded from the stored bytes alone.
 
 Edge cases: a null or empty text is the empty text, padded to one unit; equal texts give equal rows; an empty or null
 value sniffs as ``application/octet-stream`` without media; truncated media and lengths that point past the end fail
@@ -21,11 +24,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .base import bounded_batches, pieces, table
 
@@ -46,34 +50,49 @@ class Found(NamedTuple):
 # --- writers --------------------------------------------------------------------------------------------------------
 
 
-def write_wav(samples: bytes) -> bytes:
-    pad = len(samples) & 1
-    form = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(samples))
-    return b"RIFF" + struct.pack("<I", len(form) + len(samples) + pad) + form + samples + b"\0" * pad
+def write_wav(samples: bytes, inner: bytes = b"") -> bytes:
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
+    form = b"WAVE" + chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, RATE, RATE, 1, 8)) + chunk(b"data", samples) + (chunk(b"thmb", inner) if inner else b"")
+    return chunk(b"RIFF", form)
 
-def write_bmp(samples: bytes) -> bytes:
+
+def write_bmp(samples: bytes, inner: bytes = b"") -> bytes:
     """24-bit pixels, top row first (a negative height says so): rows of 192 bytes need no padding."""
-    height = len(samples) // UNIT
-    head = b"BM" + struct.pack("<IHHI", 54 + len(samples), 0, 0, 54)
-    return head + struct.pack("<IiiHHIIiiII", 40, WIDTH, -height, 1, 24, 0, len(samples), 2835, 2835, 0, 0) + samples
+    height, start = len(samples) // UNIT, 54 + len(inner)
+    head = b"BM" + struct.pack("<IHHI", start + len(samples), 0, 0, start)
+    return head + struct.pack("<IiiHHIIiiII", 40, WIDTH, -height, 1, 24, 0, len(samples), 2835, 2835, 0, 0) + inner + samples
 
 
 def _png_chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def write_png(samples: bytes) -> bytes:
+def write_png(samples: bytes, inner: bytes = b"") -> bytes:
     rows = b"".join(b"\0" + samples[at : at + UNIT] for at in range(0, len(samples), UNIT))
     head = struct.pack(">IIBBBBB", WIDTH, len(samples) // UNIT, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + _png_chunk(b"IHDR", head) + _png_chunk(b"IDAT", zlib.compress(rows, 1)) + _png_chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _png_chunk(b"IHDR", head) + (_png_chunk(b"thMb", inner) if inner else b"") + _png_chunk(b"IDAT", zlib.compress(rows, 1)) + _png_chunk(b"IEND", b"")
+
+
+def thumbnail(samples: bytes) -> bytes:
+    """A binary PGM of 8 x 8: means of 64 equal stretches of the samples."""
+    means = np.frombuffer(samples, np.uint8).reshape(64, -1).mean(axis=1)
+    return b"P5\n8 8\n255\n" + means.astype(np.uint8).tobytes()
 
 
 WRITERS = (("audio/wav", write_wav), ("image/bmp", write_bmp), ("image/png", write_png))
 
 
 def store(payload: bytes) -> bytes:
-    return WRITERS[zlib.crc32(payload) % len(WRITERS)][1](payload)
+    key = zlib.crc32(payload)
+    return WRITERS[key % 3][1](payload, thumbnail(payload) if key // 3 % 2 else b"")
+
+
+def declared(payload: bytes) -> str:
+    """The type that the payload's stored form is said to have: right, right, another one, or none."""
+    key = zlib.crc32(payload)
+    return (WRITERS[key % 3][0], WRITERS[key % 3][0], WRITERS[(key + 1) % 3][0], OCTETS)[key // 6 % 4]
 
 
 # --- validators: the medium that starts at ``at``, or None -------------------------------------------------------------
@@ -204,19 +223,22 @@ def sniff(value: bytes | None) -> list[Found]:
     return sorted(out, key=lambda f: (f.offset, -f.length))
 
 
-def true_type(value: bytes | None, declared: str | None = None) -> str:
+def true_type(value: bytes | None, declared: str | None = None, found: list[Found] | None = None) -> str:
     """The sniffed type of the whole value; the declared one only where it cannot be refuted (no known format claims it)."""
-    for f in sniff(value):
-        if f.offset == 0 and f.length == len(value):
-            return f.kind
+    if whole := whole_of(value, sniff(value) if found is None else found):
+        return whole.kind
     known = {"audio/wav", "image/bmp", "image/png", "image/gif", "image/x-portable-graymap"}
     return declared if declared and declared not in known else OCTETS
 
 
-def carve(value: bytes | None) -> list[tuple[str, int, bytes]]:
+def whole_of(value: bytes | None, found: list[Found]) -> Found | None:
+    return next((f for f in found if f.offset == 0 and f.length == len(value)), None)
+
+
+def carve(value: bytes | None, found: list[Found] | None = None) -> list[tuple[str, int, bytes]]:
     """(type, offset, bytes) of the outermost media that are not the value as a whole."""
     out, free = [], 0
-    for f in sniff(value):
+    for f in sniff(value) if found is None else found:
         if (f.offset, f.length) != (0, len(value)) and f.offset >= free:
             out.append((f.kind, f.offset, value[f.offset : f.offset + f.length]))
             free = f.offset + f.length
@@ -244,39 +266,54 @@ def read_samples(value: bytes, found: Found) -> bytes:
     return b"".join(rows[at + 1 : at + 1 + row] for at in range(0, len(rows), row + 1))
 
 
-def media_row(text: str | None, declared: str = OCTETS) -> tuple:
-    """Store a text as a medium, sniff it, read it back, and describe what was read."""
+class Stored(NamedTuple):
+    """A stored text: sizes, the stored bytes, what was said of them and what they are, the samples read back, what is embedded."""
+
+    n_bytes: int
+    media: bytes
+    declared: str
+    true_type: str
+    payload: bytes
+    embedded: list[dict]
+    feature: str
+
+
+def media_row(text: str | None) -> Stored:
+    """Store a text as a medium; correct its type, read it back and carve it from the stored bytes; describe the samples."""
     raw = (text or "").encode()
-    stored = store(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
-    found = sniff(stored)
-    whole = next(f for f in found if f.offset == 0 and f.length == len(stored))
-    back = read_samples(stored, whole)
-    inner = [f for f in found if f is not whole]
-    feature = f"{declared}->{whole.kind};samples={len(back)};embedded={','.join(f'{f.kind}@{f.offset}+{f.length}' for f in inner) or 'none'}"
-    return len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), sha256(stored).hexdigest(), feature
+    padded = raw + b" " * (-len(raw) % UNIT if raw else UNIT)
+    media, said = store(padded), declared(padded)
+    found = sniff(media)
+    kind = true_type(media, said, found)
+    payload = read_samples(media, whole_of(media, found))
+    parts = carve(media, found)
+    samples = np.frombuffer(payload, np.uint8)
+    inner = ",".join(f"{k}@{o}+{len(b)}:{zlib.crc32(b):08x}" for k, o, b in parts) or "none"
+    feature = f"{said}->{kind};samples={len(samples)};least={samples.min()};most={samples.max()};sum={samples.sum(dtype=np.int64)};embedded={inner}"
+    return Stored(len(raw), media, said, kind, payload, [{"type": k, "offset": o, "data": b} for k, o, b in parts], feature)
 
 
-COLUMNS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-KINDS = ("long", "long", "string", "long", "long", "string", "string")
-_ARROW = {"long": pa.int64(), "string": pa.string()}
+_EMBEDDED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("data", pa.binary())]))
+_ARROW = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.binary(), _EMBEDDED, pa.string())
+_KINDS = "n_bytes long, media binary, declared string, true_type string, payload binary, embedded array<struct<type:string,offset:bigint,data:binary>>, feature string"
 
 
 def _rows(kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = [media_row(t) for t in batch.column("text").to_pylist()]
-            new = [pa.array([r[i] for r in rows], _ARROW[kind]) for i, kind in enumerate(KINDS)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *COLUMNS])
+            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_ARROW)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *Stored._fields])
 
     return run
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """``docs`` without ``text`` and with what its stored media say."""
+    """``docs`` without ``text`` and with its stored form and what was found in that (the fields of ``Stored``)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.drop(*COLUMNS)
+    docs = docs.drop(*Stored._fields)
     kept = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), *(f"{c} {k}" for c, k in zip(COLUMNS, KINDS, strict=True))])
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), _KINDS])
     return docs.mapInArrow(_rows(kept), kinds)
 
 
@@ -285,9 +322,9 @@ def _sniffed(kept: list[str], column: str, declared: str | None):
         for batch in batches:
             values = batch.column(column).to_pylist()
             said = batch.column(declared).to_pylist() if declared else [None] * len(values)
-            kinds = pa.array([true_type(v, d) for v, d in zip(values, said, strict=True)], pa.string())
-            parts = [[{"type": k, "offset": o, "data": b} for k, o, b in carve(v)] for v in values]
-            cut = pa.array(parts, pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("data", pa.binary())])))
+            found = [sniff(v) for v in values]
+            kinds = pa.array([true_type(v, d, f) for v, d, f in zip(values, said, found, strict=True)], pa.string())
+            cut = pa.array([[{"type": k, "offset": o, "data": b} for k, o, b in carve(v, f)] for v, f in zip(values, found, strict=True)], _EMBEDDED)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), kinds, cut], [*kept, "true_type", "embedded"])
 
     return run
@@ -302,4 +339,14 @@ def sniff_column(df: DataFrame, column: str, declared: str | None = None) -> Dat
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )

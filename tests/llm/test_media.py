@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
+import wave
 import zlib
 
 import pytest
@@ -14,19 +16,63 @@ GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x2c" +
 PGM = b"P5\n4 2\n255\n" + bytes(8)
 
 
-@settings(max_examples=100, deadline=None)
+def samples_by_hand(media):
+    """(type, samples, the bytes of the thumbnail or none), by the formats' fixed places and the standard library."""
+    if media[:4] == b"RIFF":
+        with wave.open(io.BytesIO(media)) as f:
+            assert (f.getnchannels(), f.getsampwidth()) == (1, 1)
+            samples = f.readframes(f.getnframes())
+        last = media[44 + len(samples) :]
+        return "audio/wav", samples, last[8 : 8 + int.from_bytes(last[4:8], "little")]
+    if media[:2] == b"BM":
+        start = int.from_bytes(media[10:14], "little")
+        assert int.from_bytes(media[2:6], "little") == len(media)
+        return "image/bmp", media[start:], media[54:start]
+    assert media[:8] == b"\x89PNG\r\n\x1a\n"
+    chunks = {kind: media[at + 4 :][: int.from_bytes(media[at - 4 : at], "big")] for kind in (b"IHDR", b"IDAT", b"thMb") if (at := media.find(kind)) > 0}
+    rows = zlib.decompress(chunks[b"IDAT"])
+    assert int.from_bytes(chunks[b"IHDR"][:4], "big") * 3 == 192
+    return "image/png", b"".join(rows[at + 1 : at + 193] for at in range(0, len(rows), 193)), chunks.get(b"thMb", b"")
+
+
+@settings(max_examples=200, deadline=None)
 @given(st.text(max_size=400))
 def test_round_trip(text):
     raw = text.encode()
-    n_bytes, n, digest, crc, size, stored_digest, feature = M.media_row(text)
     payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
-    stored = M.store(payload)
-    assert (n_bytes, n, digest) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-    assert n % 192 == 0 and n > 0
-    assert crc == zlib.crc32(payload[-16:])
-    assert (size, stored_digest) == (len(stored), hashlib.sha256(stored).hexdigest())
-    assert M.media_row(text)[-1] == feature
-    assert f"samples={n}" in feature
+    got = M.media_row(text)
+    kind, samples, inner = samples_by_hand(got.media)
+    assert got.n_bytes == len(raw)
+    assert got.payload == samples == payload
+    assert got.true_type == kind
+    if inner:
+        assert {"type": "image/x-portable-graymap", "offset": got.media.rindex(inner) if kind != "image/png" else got.media.index(inner), "data": inner} in got.embedded
+        assert inner[:11] == b"P5\n8 8\n255\n"
+        n = len(payload) // 64
+        assert list(inner[11:]) == [sum(payload[k * n : k * n + n]) // n for k in range(64)]
+    assert M.media_row(text) == got
+    assert got.feature.startswith(f"{got.declared}->{kind};samples={len(payload)};least={min(payload)};most={max(payload)};sum={sum(payload)};")
+
+
+def test_types_are_corrected_and_media_carved():
+    rows = [M.media_row(f"text {k}") for k in range(400)]
+    wrong = sum(r.declared not in (r.true_type, M.OCTETS) for r in rows)
+    none = sum(r.declared == M.OCTETS for r in rows)
+    assert 60 < wrong < 140 and 60 < none < 140
+    assert {r.true_type for r in rows} == {k for k, _ in M.WRITERS}
+    assert 150 < sum(bool(r.embedded) for r in rows) < 250
+    for r in rows:
+        for e in r.embedded:
+            assert M.true_type(e["data"]) == e["type"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"RIFF", b"BM", b"P5", b"GIF89a", b"x", b"\n1 1\n255\n", M.write_wav(b"ab"), M.write_bmp(bytes(192)), M.write_png(bytes(192), b"P5\n1 1\n9\nz")]), max_size=6))
+def test_places_by_hand(parts):
+    """Every place of every magic, found without the automaton."""
+    value = b"".join(parts)
+    wanted = [f for magic, check in M.MAGIC for at in range(len(value)) if value.startswith(magic, at) and (f := check(value, at))]
+    assert M.sniff(value) == sorted(wanted, key=lambda f: (f.offset, -f.length))
 
 
 @pytest.mark.parametrize(("kind", "write"), M.WRITERS)
@@ -64,10 +110,23 @@ def test_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, feature string")
     got = M.media_columns(df).collect()
     assert sorted(r.n_bytes for r in got) == [0, 0, 20, 10000]
-    assert len({tuple(r)[1:] for r in got if not r.n_bytes}) == 1
+    assert len({str(tuple(r)[1:]) for r in got if not r.n_bytes}) == 1
     assert "image/x-portable-graymap" in next(r.feature for r in got if r.doc_id == 3)
     assert M.media_columns(df.limit(0)).count() == 0
     blobs = spark.createDataFrame([(GIF, "image/png"), (b"--" + GIF, "text/plain"), (None, None)], "blob binary, said string")
     found = M.sniff_column(blobs, "blob", "said").collect()
     assert [r.true_type for r in found] == ["image/gif", "text/plain", M.OCTETS]
     assert [[(e.type, e.offset, bytes(e.data)) for e in r.embedded] for r in found] == [[], [("image/gif", 2, GIF)], []]
+
+
+def test_query(spark, tmp_path):
+    texts = [None, "", "a" * 191, "a" * 192, "a" * 193, "é" * 400, "a" * 192]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in M.op3_media_columns(spark, str(tmp_path)).collect()}
+    for d, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert tuple(got[d])[1:5] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = M.media_row(text).media
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert tuple(got[3])[1:] == tuple(got[6])[1:]
