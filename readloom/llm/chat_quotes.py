@@ -18,7 +18,8 @@ nothing; of rows that share (conv_id, turn) each is returned, with the links of
 empty result; other columns pass through, clashing names are replaced.
 
 Scale: only hashes move before the links; originals are reduced to one row a unit, on the map side first, so a first turn
-that a third of all conversations share is one row, and joins on it may be split. Threads are found by pointer doubling
+that a third of all conversations share is one row; grouped sides of joins are written first, so a join on a unit that very many
+messages have ("Thank you very much.") may be split. Threads are found by pointer doubling
 over linked messages alone. No conversation is gathered in one task.
 """
 
@@ -149,7 +150,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     quoted = known.where("size(__quoted) > 0").select("conv_id", "turn", F.explode("__quoted").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.kind").alias("kind"), F.col("q.unit").alias("unit"))
     quoted = quoted.groupBy("conv_id", "turn", "level", "unit").agg(F.min("kind").alias("kind"))
     quoted = materialize(quoted, "quoted")
-    own = known.select("conv_id", "turn", F.explode("__own").alias("unit")).join(quoted.select("unit").distinct().hint("merge"), "unit", "left_semi")
+    asked = materialize(quoted.select("unit").distinct(), "units")  # written, so that a join on a unit that many messages have may be split
+    own = known.select("conv_id", "turn", F.explode("__own").alias("unit")).join(asked.hint("merge"), "unit", "left_semi")
     first = own.groupBy("conv_id", "unit").agg(F.min("turn").alias("original"))
     first = materialize(first, "first")
     near = quoted.join(first.hint("merge"), ["conv_id", "unit"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
