@@ -6,7 +6,7 @@ Items are partitioned by size (powers of two of their shingle count). Within a p
 asked share of the item's shingles must hold one of them, as it lacks fewer than the signature has. So the search for
 short items inside documents of any length loses nothing, which a signature of the documents could not promise: an
 item's share of a long document's minima vanishes with the document's length. Documents probe the signatures with all
-their shingle hashes; candidates are then verified on the shingles themselves, as strings.
+their shingle hashes, each made from the hashes of its words; candidates are then verified on the shingles themselves, as strings.
 
 Main path: DataFrame expressions only.
 
@@ -50,17 +50,33 @@ def _runs(ws: Column, width: Column | int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(ws, i, width))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def _run_hashes(hashes: Column, width: int) -> Column:
+    """A hash of every run of ``width`` words, from the hashes of the words."""
+    last = F.size(hashes) - width + 1
+    each = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.lit("item"), *(F.element_at(hashes, i + k) for k in range(width))))
+    return F.when(last >= 1, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _word_hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
 def items_table(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, row, width, shingles): each item's distinct shingles as strings; items without words are left out."""
+    """(item_id, row, width, shingles, hashes): each item's distinct shingles as strings and by hash; items without words are left out."""
     ws = benchmark.select("item_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     width = F.least(F.size("ws"), F.lit(size))
     runs = F.transform(_runs(F.col("ws"), width), lambda r: F.array_join(r, " "))
-    return ws.select("item_id", "row", width.alias("width"), F.array_distinct(runs).alias("shingles"))
+
+    def hashed(w: int) -> Column:
+        return _bound(_word_hashes(F.col("ws")), lambda h: F.array_distinct(_run_hashes(h, w)))
+
+    hashes = F.coalesce(*(F.when(width == w, hashed(w)) for w in range(1, size + 1)))
+    return ws.select("item_id", "row", width.alias("width"), F.array_distinct(runs).alias("shingles"), hashes.alias("hashes"))
 
 
 def signatures(items: DataFrame, threshold: float) -> DataFrame:
     """(row, hash): the bottom-k MinHash of each item, k by its size partition."""
-    hashes = F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(F.lit("item"), s))))
+    hashes = F.array_sort("hashes")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("shingles").cast("double"))))
     k = (F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int")
     return items.select("row", F.explode(F.slice(hashes, F.lit(1), k)).alias("hash"))
@@ -74,16 +90,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshol
     if not widths:
         widths = [size]
 
-    def probes(ws: Column) -> Column:
-        each = [F.transform(_runs(ws, w), lambda r: F.xxhash64(F.lit("item"), F.array_join(r, " "))) for w in widths]
+    def probes(hashes: Column) -> Column:
+        each = [_run_hashes(hashes, w) for w in widths]
         return F.array_distinct(F.concat(*each) if len(each) > 1 else each[0])
 
     texts = docs.select("doc_id", "text")
-    hits = texts.select("doc_id", F.explode(_bound(words(F.col("text")), probes)).alias("hash")).join(index, "hash")
+    hits = texts.select("doc_id", F.explode(_bound(_word_hashes(words(F.col("text"))), probes)).alias("hash")).join(index, "hash")
     pairs = materialize(hits.select("doc_id", "row").distinct(), "candidates")
     found = pairs.select(F.col("doc_id").alias("of"), "row").groupBy("of").agg(F.collect_set("row").alias("rows"))
     held = texts.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", words(F.col("text")).alias("ws"), F.explode("rows").alias("row"))
-    both = held.join(items, "row")
+    both = held.join(items.drop("hashes"), "row")
     own = F.transform(_runs(F.col("ws"), F.col("width")), lambda r: F.array_join(r, " "))
     n_item, shared = F.size("shingles").cast("long"), F.size(F.array_intersect("shingles", own)).cast("long")
     exact = both.select("doc_id", "item_id", "row", n_item.alias("n_item"), shared.alias("n_shared"))
@@ -103,14 +119,17 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
-  UNION ALL
-  SELECT 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-s AS (SELECT DISTINCT kind, id, array_to_string(ws[p : p + 4], ' ') AS g
-      FROM (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN kind = 'i' AND len(ws) > 0 THEN 2 ELSE 1 END))) AS p FROM w)),
-n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
-c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
-SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n ON n.id = c.item_id
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+iw AS (
+  SELECT item_id, ws, least(len(ws), 5) AS k
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark)
+  WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM iw)),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g
+      FROM (SELECT doc_id, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS p FROM dw CROSS JOIN (SELECT DISTINCT k FROM iw))),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i ON d.g = i.g AND d.k = i.k GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id)
 WHERE n_shared >= 0.8 * n_item - 1e-9
 """

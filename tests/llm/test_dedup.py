@@ -276,6 +276,11 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in got} == wanted
     assert len(got) == len(wanted) > 30
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in wanted}
+    duckdb = pytest.importorskip("duckdb")
+    documents = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})  # noqa: F841
+    benchmark = pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]})  # noqa: F841
+    assert {(d, i): (n, k) for d, i, n, k, _ in duckdb.sql(decontaminate.SQL).fetchall()} == wanted
+    assert any(n < 5 and len(words(dict(items)[i])) < 5 for (_, i), (n, _) in wanted.items())
 
 
 def test_leak_edges(spark, empty):
