@@ -14,6 +14,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.scratch import written
+
 #: Bases of sequences (and quality sums) that a task holds before it passes its sums on.
 HELD_BASES = 8 << 20
 
@@ -93,9 +95,26 @@ def rank(uniques: DataFrame) -> DataFrame:
     return uniques.withColumn("raw_index", (F.row_number().over(order) - 1).cast("int"))
 
 
-def dereplicate(reads: DataFrame) -> DataFrame:
-    """The unique sequences of each sample, ranked."""
-    return rank(position_means(reads)).select("sample", "raw_index", "sequence", "abundance", "average_qualities", "consensus_qualities")
+def rank_large(uniques: DataFrame) -> DataFrame:
+    """As ``rank``, for samples that are too large to be sorted by one task each.
+
+    Rows are dealt by ranges of (sample, abundance, sequence), sorted in their parts and written; a row's rank is its place in its
+    part and the sizes of the sample's parts before it, which are a row a part and sample.
+    """
+    order = [F.col("sample"), F.col("abundance").desc(), F.col("sequence")]
+    placed = written(uniques.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumn("__part", part).withColumn("__place", place).drop("__id")
+    sizes = placed.groupBy("sample", "__part").agg(F.min("__place").alias("__begin"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("sample").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("sample").alias("__sample"), "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__begin")).alias("__plus"))
+    met = placed.join(sizes, (F.col("sample").eqNullSafe(F.col("__sample"))) & (placed["__part"] == sizes["__part"]))
+    return met.select(*uniques.columns, (F.col("__place") + F.col("__plus")).cast("int").alias("raw_index"))
+
+
+def dereplicate(reads: DataFrame, large: bool = False) -> DataFrame:
+    """The unique sequences of each sample, ranked; ``large``: where a sample is too large for one task."""
+    return (rank_large if large else rank)(position_means(reads)).select("sample", "raw_index", "sequence", "abundance", "average_qualities", "consensus_qualities")
 
 
 def totals(reads: DataFrame) -> DataFrame:

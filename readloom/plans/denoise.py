@@ -3,20 +3,19 @@
 ``denoise`` takes samples apart: each is partitioned in one task, samples run beside each other, and a row comes out for
 every unique sequence. ``denoise_large`` is for a sample that is too large for one task: sequences stay distributed, each
 step is a DataFrame plan, the driver keeps only the list of clusters and gets one candidate row and one count a step.
-Both give the same partition.
+Both give the same partition. A task of ``denoise`` holds a sample's unique sequences and, for every cluster, two numbers a
+sequence: rank samples of over some 100,000 unique sequences by ``derep.rank_large`` and give them to ``denoise_large``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.alignment import compare_pairs
+from readloom import scratch
 from readloom.operators import assign, bud, compare, pvalue
 from readloom.operators.errmodel import error_rates
 from readloom.plans.partition import Partition, Settings
@@ -69,11 +68,10 @@ def denoise(uniques: DataFrame, settings: Settings | None = None, rates: np.ndar
 
 
 class _Tables:
-    """Tables of a run in the folder that ``spark.checkpoint.dir`` names (one of our own where that is unset)."""
+    """Tables of a run. A table may be made from its last version, which is deleted once the one after it is written."""
 
     def __init__(self, spark: SparkSession):
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="readloom-")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/denoise-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch.new_path(spark, "denoise")
         self.n = 0
         self.paths: dict[str, str] = {}
 
@@ -83,11 +81,15 @@ class _Tables:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if old := self.paths.get(name):
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            scratch.delete(self.spark, old)
         self.paths[name] = path
         return out
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                scratch.delete(self.spark, path)
+
 
 def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: np.ndarray | None = None) -> tuple[DataFrame, list[dict]]:
     """(records, clusters) of one sample; ``records`` as in ``readloom.schemas.RECORDS`` without sample and sequence."""
@@ -109,6 +111,13 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
     comparisons = spark.createDataFrame([], "cluster_index int, raw_index int, lambda double, hamming int")
     clusters = [{"center_index": 0, "total_reads": int(total), "self_lambda": 1.0, "birth_type": "I", "birth_from": None, "birth_pval": 1.0, "birth_fold": 1.0, "birth_e": 0.0, "update_e": True, "check_locks": True}]
 
+    turn = {"records": 0, "comparisons": 0}
+
+    def other(name: str) -> str:
+        """Two names in turn, so that a new version is written once while the last one is still read."""
+        turn[name] ^= 1
+        return f"{name}{turn[name] or ''}"
+
     def cluster_table() -> DataFrame:
         rows = [(c, k["center_index"], k["total_reads"]) for c, k in enumerate(clusters)]
         return spark.createDataFrame(rows, "cluster_index int, center_index int, total_reads long").coalesce(1)
@@ -126,8 +135,9 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
         if own:
             clusters[c]["self_lambda"] = own["lambda"]
         after, kept = compare.upsert(records, comparisons, new, c, center, row.abundance, int(total))
-        after, kept = store.put("records2", after), store.put("comparisons2", kept)
-        records, comparisons = store.put("records", after), store.put("comparisons", kept)
+        after = store.put(other("records"), after)  # both are made from both old tables
+        comparisons = store.put(other("comparisons"), kept)
+        records = after
 
     def refreshed() -> None:
         nonlocal records
@@ -143,7 +153,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
             every = every.join(reads, "center_index")
             sure = F.coalesce(F.col("__reads") * F.col("lambda") > F.col("abundance"), F.lit(False)) | (F.col("raw_index") == F.col("center_index"))
             lock = lock | (F.col("cluster_index").isin(checked) & sure)
-        records = store.put("records", store.put("records2", every.withColumn("lock", lock).select(*records.columns)))
+        records = store.put(other("records"), every.withColumn("lock", lock).select(*records.columns))
         for k in clusters:
             k["update_e"] = False
             k["check_locks"] = k["check_locks"] and not s.greedy
@@ -167,7 +177,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
             "comp_hamming": F.when(F.col("moved"), F.col("best_hamming")).otherwise(F.col("comp_hamming")).cast("int"),
             "lock": F.lit(False),
         }
-        records = store.put("records", met.select(*(changed.get(c, F.col(c)).alias(c) for c in records.columns)))
+        records = store.put(other("records"), met.select(*(changed.get(c, F.col(c)).alias(c) for c in records.columns)))
         for row in assign.census(records, cluster_table()).join(assign.centers(records), "cluster_index", "left").collect():  # a row a cluster
             k = clusters[row.cluster_index]
             k["update_e"] = k["update_e"] or row.changed
@@ -190,7 +200,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
                     raise RuntimeError(f"more than {s.max_clusters} clusters")
                 own = F.col("raw_index") == row.raw_index
                 moved = records.withColumn("cluster_index", F.when(own, len(clusters) - 1).otherwise(F.col("cluster_index")).cast("int")).withColumn("ord", F.when(own, 0).otherwise(F.col("ord")).cast("int"))
-                records = store.put("records", store.put("records2", moved))
+                records = store.put(other("records"), moved)
                 return True
         return False
 
@@ -207,6 +217,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
             if rounds > s.max_shuffles:
                 raise RuntimeError(f"the partition did not settle in {rounds} shuffles")
         refreshed()
+    store.drop("raws", "new", "moves", other("records"), other("comparisons"), other("comparisons"))
     return records, clusters
 
 

@@ -9,6 +9,7 @@ from readloom.fixtures import AMP_SQL, DOC_SQL, STATE_SQL, amplicon_reads, docum
 from readloom.operators import align, assign, bud, compare, derep, errmodel, homopolymers, kmers, pvalue
 from readloom.plans import denoise, report
 from readloom.plans.partition import Settings
+from readloom.scratch import written
 from readloom.sources import fastx
 
 QUERIES: dict = {}
@@ -30,7 +31,7 @@ def _uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_uniques(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return derep.rank(derep.abundances(document_reads(spark, sf_dir, whole)))
+    return derep.rank_large(derep.abundances(document_reads(spark, sf_dir, whole)))
 
 
 def _with_center(uniques: DataFrame) -> DataFrame:
@@ -79,6 +80,11 @@ def derep_rank(spark, sf_dir):
     return derep.dereplicate(amplicon_reads(spark, sf_dir)).select("raw_index", "sequence", "abundance")
 
 
+@query(f"WITH {AMP_SQL} SELECT raw_index::INT AS raw_index, sequence, abundance FROM amp_u")
+def derep_rank_large(spark, sf_dir):
+    return derep.dereplicate(amplicon_reads(spark, sf_dir), large=True).select("raw_index", "sequence", "abundance")
+
+
 # --- k-mers and runs ------------------------------------------------------------------------------------------------
 
 KMER_SQL = """
@@ -177,8 +183,7 @@ def align_banded(spark, sf_dir):
 @query()
 def align_strings(spark, sf_dir):
     """Of whole documents: every unique one against the most abundant."""
-    # Ranks leave all rows in one task; alignments of whole texts are spread again.
-    both = _with_center(_doc_uniques(spark, sf_dir, whole=True).repartition("raw_index"))
+    both = _with_center(_doc_uniques(spark, sf_dir, whole=True).repartition("raw_index"))  # long texts stand together in the order of ranks
     pairs = both.select(F.col("raw_index").cast("long").alias("raw_index"), F.col("center").alias("s1"), F.col("sequence").alias("s2"))
     return align.align(pairs, homo_gap=-2, band=16).select("raw_index", "score", "query_align", "ref_align")
 
@@ -207,7 +212,7 @@ pl AS (SELECT u.raw_index, ql.p, c.sequence[ql.p] AS t, u.sequence[ql.p] AS r, q
 )
 def lambda_ungapped(spark, sf_dir):
     rates = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in errmodel.error_rates()))
-    both = _with_center(derep.dereplicate(amplicon_reads(spark, sf_dir)))
+    both = _with_center(written(derep.dereplicate(amplicon_reads(spark, sf_dir)), "uniques"))
     # The model goes into the plan once, as a one-row table.
     model = spark.range(1).select(rates.alias("rates"))
     lam = compare.ungapped_lambda(F.col("center"), F.col("sequence"), F.col("consensus_qualities"), F.col("rates"))
@@ -221,7 +226,7 @@ def hamming_ungapped(spark, sf_dir):
 
 @query()
 def compare_center0(spark, sf_dir):
-    uniques = derep.dereplicate(amplicon_reads(spark, sf_dir))
+    uniques = written(derep.dereplicate(amplicon_reads(spark, sf_dir)), "uniques")
     center = uniques.where("raw_index = 0").select("sequence").first().sequence
     return compare.against_center(uniques, center)
 
@@ -326,6 +331,13 @@ def denoise_members(spark, sf_dir):
     return denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir)))
 
 
+@query()
+def denoise_distributed(spark, sf_dir):
+    """The amplicon sample as a large one: distributed ranks and a partition that no task holds as a whole."""
+    records, _ = denoise.denoise_large(derep.dereplicate(amplicon_reads(spark, sf_dir), large=True))
+    return records
+
+
 @query()
 def denoise_asv_report(spark, sf_dir):
     # The report needs no qualities, so it ranks the plain abundances again.
