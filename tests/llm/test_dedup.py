@@ -220,7 +220,7 @@ def test_sketches_estimate_and_bound():
     assert near_dedup.allowed(parity[:1], parity, n[:1], n, 0.85).tolist() == [True, True, False, False]
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, edges):
     root = {}
