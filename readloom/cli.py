@@ -36,6 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     members = denoise(uniques, Settings(omega_a=args.omega_a)).cache()
     report = asv_report(members, uniques).cache()
     lines = report_lines(report).orderBy("sample", "ASV_ID").collect()
+    births = lineage(members).orderBy("sample", "cluster_index").collect() if args.verbose else []
     for row in sorted(sizes):
         own = [x for x in lines if x.sample == row.sample]
         print(f"\n{row.sample}: {row['sum(abundance)']} reads, {row['count(1)']} unique sequences, {len(own)} variants")
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.verbose:
             for x in own:
                 print(x.representative)
-            for x in lineage(members).where(f"sample = '{row.sample}'").orderBy("cluster_index").collect():
+            for x in (b for b in births if b.sample == row.sample):
                 print(f"ASV {x.cluster_index + 1}: {x.birth_type} from {x.birth_from}, p {x.birth_pval:.2e}, expected {x.birth_e:.3g}")
     if args.output:
         report.write.mode("overwrite").parquet(args.output)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import scratch
 from readloom.fixtures import AMP_SQL, DOC_SQL, STATE_SQL, amplicon_reads, document_reads, state_tables, table
 from readloom.operators import align, assign, bud, compare, derep, errmodel, homopolymers, kmers, pvalue
 from readloom.plans import denoise, report
 from readloom.plans.partition import Settings
 from readloom.scratch import written
-from readloom.sources import fastx
+from readloom.sources import fastx, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,6 +55,15 @@ def reads_normalize(spark, sf_dir):
     return out.select("id", "sequence", F.size("qualities").cast("long").alias("n_quals"), F.aggregate("qualities", F.lit(0), lambda s, q: s + q).cast("long").alias("quality_sum"))
 
 
+@query(f"WITH {AMP_SQL} SELECT id, sequence, list_sum([20 + (p * 3 + shift) % 21 FOR p IN range(1, 65)])::BIGINT AS quality_sum, (20 + (64 * 3 + shift) % 21)::INT AS last_quality FROM amp")
+def fastx_scan(spark, sf_dir):
+    """The amplicon reads, written as FASTQ files and scanned from there."""
+    path = scratch.new_path(spark, "fastq")
+    sinks.write_fastq(amplicon_reads(spark, sf_dir), path)
+    out = fastx.read_fastx(spark, f"{path}/part-*", qual_offset=33)
+    return out.select("id", "sequence", F.aggregate("qualities", F.lit(0), lambda s, q: s + q).cast("long").alias("quality_sum"), F.element_at("qualities", -1).alias("last_quality"))
+
+
 @query(f"WITH {AMP_SQL} SELECT sequence, abundance FROM amp_u")
 def derep_abundance(spark, sf_dir):
     return derep.abundances(amplicon_reads(spark, sf_dir)).select("sequence", "abundance")

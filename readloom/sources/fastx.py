@@ -1,6 +1,7 @@
 """FASTA and FASTQ, plain or gzipped.
 
-``read_fastx`` goes through Spark's own file source, so any store that Spark reads will do; one file is one partition, as
+``read_fastx`` goes through Spark's own file source, so any store that Spark reads will do, but a file must be under 2 GB there
+(larger ones: mounted, by the ``fastx`` source, which has no such limit); one file is one partition, as
 gzip cannot be split and ``@`` may begin a quality line. The ``fastx`` data source reads local or mounted paths line by
 line and also serves streams' directories. Headers are kept whole and trimmed, sequences are upper-cased, FASTA bases get
 quality 40, and FASTQ qualities are the file's bytes minus ``qual_offset`` (0 by default, 33 for Phred scores).

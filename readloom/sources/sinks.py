@@ -1,4 +1,4 @@
-"""Writers: tables as Parquet, sequences as FASTA."""
+"""Writers: tables as Parquet, sequences as FASTA, reads as FASTQ."""
 
 from __future__ import annotations
 
@@ -18,3 +18,9 @@ def fasta_lines(report: DataFrame) -> DataFrame:
 
 def write_fasta(report: DataFrame, path: str) -> None:
     fasta_lines(report).write.mode("overwrite").text(path)
+
+
+def write_fastq(reads: DataFrame, path: str, qual_offset: int = 33) -> None:
+    """A FASTQ file a task; qualities as bytes above ``qual_offset``."""
+    marks = F.array_join(F.transform("qualities", lambda q: F.char(q + qual_offset)), "")
+    reads.select(F.concat(F.lit("@"), "id", F.lit("\n"), "sequence", F.lit("\n+\n"), marks).alias("value")).write.text(path)
