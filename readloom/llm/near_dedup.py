@@ -23,7 +23,8 @@ doc_id count as one document with the union of their links; rows with a null doc
 ties go to the smallest doc_id; an empty table gives an empty result; extra columns are ignored here.
 
 Scale: one pass over the texts makes the sketches; after that only band hashes (8 bytes each) move, and the texts of
-documents in some candidate pair. Joins on hot buckets or hot documents may be split by Spark; sizes decide broadcasts.
+documents in some candidate pair. Joins on hot buckets or hot documents may be split by Spark; sizes decide broadcasts. A bucket
+of n members that is still open goes out as n**2 / ``BLOCK`` rows of sketches, and a task meets two blocks at a time.
 """
 
 from __future__ import annotations
