@@ -1,8 +1,8 @@
 """FASTA and FASTQ, plain or gzipped.
 
-``read_fastx`` goes through Spark's own file source, so any store that Spark reads will do, but a file must be under 2 GB there
-(larger ones: mounted, by the ``fastx`` source, which has no such limit); one file is one partition, as
-gzip cannot be split and ``@`` may begin a quality line. The ``fastx`` data source reads local or mounted paths line by
+``read_fastx`` goes through Spark's own file sources, so any store that Spark reads will do. Files named ``.gz`` come line by line,
+in order, as they cannot be split, and may have any size; other files come as a whole and must be under 2 GB (as ``@`` may begin
+a quality line, a file's parts cannot be read apart). The ``fastx`` data source reads local or mounted paths line by
 line and also serves streams' directories. Headers are kept whole and trimmed, sequences are upper-cased, FASTA bases get
 quality 40, and FASTQ qualities are the file's bytes minus ``qual_offset`` (0 by default, 33 for Phred scores).
 """
@@ -14,6 +14,8 @@ import gzip
 import io
 import os
 from collections.abc import Iterator
+from itertools import groupby, islice
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,11 @@ def parse(stream: io.BufferedIOBase, qual_offset: int = 0) -> Iterator[tuple[str
     """(id, sequence, qualities) of each record."""
     if stream.peek(2)[:2] == GZIP:
         stream = gzip.open(stream)
-    lines = (line.rstrip(b"\r\n") for line in stream)
+    yield from parse_lines((line.rstrip(b"\r\n") for line in stream), qual_offset)
+
+
+def parse_lines(lines: Iterator[bytes], qual_offset: int = 0) -> Iterator[tuple[str, str, list[int]]]:
+    """(id, sequence, qualities) of each record of lines without their ends."""
     head = next((line for line in lines if line), None)
     while head is not None:
         name = head[1:].decode(errors="replace").strip()
@@ -80,26 +86,37 @@ def _rows(qual_offset: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held: list[tuple] = []
-                for record in parse(_open(content), qual_offset):
-                    held.append(record)
-                    if len(held) >= 10_000:
-                        yield _batch(path, held)
-                        held = []
-                if held:
-                    yield _batch(path, held)
+                yield from _batches(path, parse(_open(content), qual_offset))
+
+    return run
+
+
+def _line_rows(qual_offset: int):
+    """Records of files whose lines come in order, one file after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        for path, own in groupby(rows, key=lambda row: row[0]):
+            yield from _batches(unquote(path), parse_lines((value.encode() for _, value in own), qual_offset))
 
     return run
 
 
+def _batches(path: str, records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(records, 10_000)):
+        yield _batch(path, held)
+
+
 def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
     sample = pa.array([os.path.basename(path)] * len(rows), pa.string())
     return pa.RecordBatch.from_arrays([sample, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.list_(pa.int32()))))], ["sample", "id", "sequence", "qualities"])
 
 
 def read_fastx(spark: SparkSession, path: str, qual_offset: int = 0) -> DataFrame:
-    """Reads of all files at ``path`` (files of up to 2 GB); the sample is the file's name."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows(qual_offset), READS)
+    """Reads of all files at ``path``; the sample is the file's name."""
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz}").load(path)
+    lines = spark.read.option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", "content").mapInArrow(_rows(qual_offset), READS).unionByName(lines.mapInArrow(_line_rows(qual_offset), READS))
 
 
 def normalize(reads: DataFrame) -> DataFrame:

@@ -263,6 +263,20 @@ def test_fastx(spark, tmp_path, way):
     assert len(rows) == 7
 
 
+def test_compressed_files_come_line_by_line(spark, tmp_path):
+    records = [(f"r{k}", "ACGT"[k % 4] * (k % 7), "I@+~"[k % 4] * (k % 7)) for k in range(23_000)]
+    for name, part in (("a.fastq.gz", records[:21_000]), ("b 1%.gz", records[21_000:]), ("c.fq.gz", [])):
+        (tmp_path / name).write_bytes(gzip.compress("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in part).encode()))
+    (tmp_path / "nogz").write_bytes(FASTA)
+    got = fastx.read_fastx(spark, str(tmp_path), 33).collect()
+    wanted = sorted(("a.fastq.gz" if k < 21_000 else "b 1%.gz", i, s, [ord(x) - 33 for x in q]) for k, (i, s, q) in enumerate(records))
+    assert sorted(tuple(r) for r in got if r.sample != "nogz") == wanted
+    assert sum(r.sample == "nogz" for r in got) == 3
+    (tmp_path / "d.gz").write_bytes(gzip.compress(b"@r\nACG\n+\nII\n"))
+    with pytest.raises(Exception, match="read r: 3 bases but 2 qualities"):
+        fastx.read_fastx(spark, str(tmp_path / "d.gz")).collect()
+
+
 def test_fastx_offset_and_faults(spark, tmp_path):
     (tmp_path / "a.fastq").write_bytes(FASTQ)
     assert fastx.read_fastx(spark, str(tmp_path / "a.fastq"), 33).where("id = 'r2'").first().qualities == [0, 0, 93]
