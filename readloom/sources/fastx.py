@@ -1,8 +1,8 @@
 """FASTA and FASTQ, plain or gzipped.
 
-``read_fastx`` goes through Spark's own file sources, so any store that Spark reads will do. Files named ``.gz`` come line by line,
-in order, as they cannot be split, and may have any size; other files come as a whole and must be under 2 GB (as ``@`` may begin
-a quality line, a file's parts cannot be read apart). The ``fastx`` data source reads local or mounted paths line by
+``read_fastx`` goes through Spark's own file sources, so any store that Spark reads will do. Files come line by line, in order,
+one task a file (as ``@`` may begin a quality line, a file's parts cannot be read apart), and may have any size; gzip is told by
+the name ``.gz`` or by the first bytes. The ``fastx`` data source reads local or mounted paths line by
 line and also serves streams' directories. Headers are kept whole and trimmed, sequences are upper-cased, FASTA bases get
 quality 40, and FASTQ qualities are the file's bytes minus ``qual_offset`` (0 by default, 33 for Phred scores).
 """
@@ -13,8 +13,9 @@ import glob
 import gzip
 import io
 import os
+import zlib
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from readloom.schemas import READS
 
 FASTA_QUALITY = 40
 GZIP = b"\x1f\x8b"
+#: Files up to this size are one partition each.
+ONE_TASK = 1 << 44
 
 
 class FastxError(ValueError):
@@ -91,17 +94,52 @@ def _rows(qual_offset: int):
     return run
 
 
+def _inflated(lines: Iterator[bytes]) -> Iterator[bytes]:
+    """The lines inside gzip members that came cut at their line feeds."""
+    member, rest = zlib.decompressobj(31), b""
+    for line in lines:
+        data = line + b"\n"
+        # The last line feed may not be the file's own; nothing but that and padding may stand behind a member.
+        while data.strip(b"\n\0") if member.eof else data:
+            member = zlib.decompressobj(31) if member.eof else member
+            *whole, rest = (rest + member.decompress(data)).split(b"\n")
+            yield from whole
+            data = member.unused_data
+    if not member.eof:
+        raise FastxError("the compressed file is cut short")
+    if rest:
+        yield rest
+
+
 def _line_rows(qual_offset: int):
     """Records of files whose lines come in order, one file after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True))
         for path, own in groupby(rows, key=lambda row: row[0]):
-            yield from _batches(unquote(path), parse_lines((value.encode() for _, value in own), qual_offset))
+            lines = (value for _, value in own)
+            first = next(lines)
+            lines = chain([first], lines)
+            if first.startswith(GZIP):
+                lines = _inflated(lines)
+            yield from _batches(unquote(path), parse_lines((line.rstrip(b"\r\n") for line in lines), qual_offset))
 
     return run
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the lines of all files at ``path`` as bytes; a file is one partition, its lines in order.
+
+    How a scan is split is a setting of the session that makes it, so a session beside the caller's makes this one.
+    """
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.files.maxPartitionBytes", ONE_TASK)
+    beside.conf.set("spark.sql.files.openCostInBytes", ONE_TASK)
+    lines = beside.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    # The union with nothing gives the plan to the caller's session.
+    return spark.sql("SELECT '' AS path, X'' AS value WHERE false").unionByName(lines)
+
+
 def _batches(path: str, records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     while held := list(islice(records, 10_000)):
         yield _batch(path, held)
@@ -114,9 +152,7 @@ def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
 
 def read_fastx(spark: SparkSession, path: str, qual_offset: int = 0) -> DataFrame:
     """Reads of all files at ``path``; the sample is the file's name."""
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz}").load(path)
-    lines = spark.read.option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", "content").mapInArrow(_rows(qual_offset), READS).unionByName(lines.mapInArrow(_line_rows(qual_offset), READS))
+    return _lines(spark, path).mapInArrow(_line_rows(qual_offset), READS)
 
 
 def normalize(reads: DataFrame) -> DataFrame:

@@ -277,6 +277,35 @@ def test_compressed_files_come_line_by_line(spark, tmp_path):
         fastx.read_fastx(spark, str(tmp_path / "d.gz")).collect()
 
 
+def test_plain_files_come_line_by_line(spark, tmp_path):
+    """A file is one partition, however small Spark's own parts are; gzip is known by its bytes also without the name."""
+    records = [(f"r{k}", "ACGT"[k % 4] * (k % 90 + 1), "I@+~"[k % 4] * (k % 90 + 1)) for k in range(12_000)]
+    text = "".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in records).encode()
+    (tmp_path / "plain").write_bytes(text)
+    (tmp_path / "windows").write_bytes(text.replace(b"\n", b"\r\n"))
+    members = gzip.compress(text[: len(text) // 3]) + gzip.compress(text[len(text) // 3 :])
+    (tmp_path / "members").write_bytes(members)
+    (tmp_path / "padded").write_bytes(members + b"\0" * 700)
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "packed empty").write_bytes(gzip.compress(b""))
+    (tmp_path / "latin").write_bytes(b"@caf\xe9\nAC\n+\nII")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        got = fastx.read_fastx(spark, str(tmp_path), 33)
+        rows = got.collect()
+        assert got.sparkSession is spark and spark.conf.get("spark.sql.files.maxPartitionBytes") == "1000"
+        assert got.rdd.getNumPartitions() == 6  # files that hold any byte
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [(i, s, [ord(x) - 33 for x in q]) for i, s, q in records]
+    for name in ("plain", "windows", "members", "padded"):
+        assert [(r.id, r.sequence, r.qualities) for r in rows if r.sample == name] == wanted
+    assert [(r.id, r.qualities) for r in rows if r.sample not in ("plain", "windows", "members", "padded")] == [("caf\ufffd", [40, 40])]
+    (tmp_path / "cut").write_bytes(members[:-9])
+    with pytest.raises(Exception, match="cut short"):
+        fastx.read_fastx(spark, str(tmp_path / "cut")).collect()
+
+
 def test_fastx_offset_and_faults(spark, tmp_path):
     (tmp_path / "a.fastq").write_bytes(FASTQ)
     assert fastx.read_fastx(spark, str(tmp_path / "a.fastq"), 33).where("id = 'r2'").first().qualities == [0, 0, 93]
