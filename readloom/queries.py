@@ -144,8 +144,8 @@ def homopolymer_runs(spark, sf_dir):
 # --- alignment ------------------------------------------------------------------------------------------------------
 
 
-def _align_sql(homo: bool, band: int) -> str:
-    """Scores of every unique document read (s2) against the first (s1), row by row of the score matrix."""
+def _gap_sql(homo: bool, band: int) -> tuple[str, str, str, str]:
+    """Of a cell of row w and column j: whether it is in the band; the first row's score; what a base of s2 costs, and of s1 (row r.i + 1)."""
     inside = f"abs(w.j - w.i) <= {band} + (CASE WHEN w.j - w.i > 0 THEN greatest(w.m - w.n, 0) ELSE greatest(w.n - w.m, 0) END)" if band >= 0 else "TRUE"
     start = f"CASE WHEN j > {band} + greatest(m - n, 0) THEN -9999 ELSE 0 END" if band >= 0 else "0"
 
@@ -154,6 +154,12 @@ def _align_sql(homo: bool, band: int) -> str:
 
     cost2 = f"CASE WHEN {triple('s2', 'j', 'm')} THEN -2 ELSE -8 END" if homo else "-8"
     cost1 = f"CASE WHEN {triple('s1', '(r.i + 1)', 'r.n')} THEN -2 ELSE -8 END" if homo else "-8"
+    return inside, start, cost2, cost1
+
+
+def _align_sql(homo: bool, band: int) -> str:
+    """Scores of every unique document read (s2) against the first (s1), row by row of the score matrix."""
+    inside, start, cost2, cost1 = _gap_sql(homo, band)
     return f"""WITH RECURSIVE {DOC_U},
     pr AS (SELECT u.raw_index, c.sequence AS s1, u.sequence AS s2, length(c.sequence) AS n, length(u.sequence) AS m FROM doc_u u CROSS JOIN (SELECT sequence FROM doc_u WHERE raw_index = 0) c),
     cells AS (SELECT raw_index, s1, s2, n, m, unnest(range(0, m + 1)) AS j FROM pr),
@@ -234,11 +240,43 @@ def hamming_ungapped(spark, sf_dir):
     return _with_center(_uniques(spark, sf_dir)).select("raw_index", compare.hamming(F.col("sequence"), F.col("center")).alias("hamming"))
 
 
-@query()
+def _compare_sql() -> str:
+    """Likelihood and substitutions of every unique amplicon read (s2) against the first (s1), along the best alignment.
+
+    Besides its score each cell of the matrix carries the log likelihood and the substitutions of the best way to it. In a
+    row, ways go left from the last cell that was reached from above; of equal ways up comes first, then left.
+    """
+    inside, start, cost2, cost1 = _gap_sql(True, 16)
+    w = "OVER (PARTITION BY raw_index ORDER BY j)"
+    return f"""WITH RECURSIVE {AMP_SQL},
+    ql AS (SELECT sequence, p, round(sum(20 + (p * 3 + shift) % 21) / count(*))::INT AS q FROM amp CROSS JOIN range(1, 65) r(p) GROUP BY sequence, p),
+    pr AS (SELECT u.raw_index, c.sequence AS s1, u.sequence AS s2, length(c.sequence) AS n, length(u.sequence) AS m FROM amp_u u CROSS JOIN (SELECT sequence FROM amp_u WHERE raw_index = 0) c),
+    cells AS (SELECT raw_index, s1, s2, n, m, unnest(range(0, m + 1)) AS j FROM pr),
+    wrong AS (SELECT c.*, least(pow(10.0, -least(q, 40) / 10.0), 0.75) AS e FROM cells c LEFT JOIN ql ON ql.sequence = s2 AND p = j),
+    g AS (SELECT *, sum(CASE WHEN j = 0 THEN 0 ELSE {cost2} END) {w} AS gs, sum(CASE WHEN j = 0 THEN 0.0 ELSE log10(1 - e) END) {w} AS inserted FROM wrong),
+    dp AS (
+      SELECT raw_index, s1, s2, n, m, j, gs, e, inserted, 0::BIGINT AS i, ({start})::BIGINT AS d, inserted::DOUBLE AS likely, 0::BIGINT AS subs FROM g
+      UNION ALL
+      SELECT raw_index, s1, s2, n, m, j, gs, e, inserted, i, d,
+             (inserted + last_value(CASE step WHEN 'u' THEN up_likely - inserted WHEN 'd' THEN diag_likely - inserted END IGNORE NULLS) {w})::DOUBLE,
+             (last_value(CASE step WHEN 'u' THEN up_subs WHEN 'd' THEN diag_subs END IGNORE NULLS) {w})::BIGINT
+      FROM (SELECT *, CASE WHEN j = 0 OR up = d THEN 'u' WHEN lag(d) {w} + k - lag(k) {w} = d THEN 'l' ELSE 'd' END AS step
+      FROM (SELECT *, CASE WHEN {inside} THEN k + max(t - k) {w} ELSE -9999 END::BIGINT AS d
+      FROM (SELECT *, CASE WHEN {inside} THEN CASE WHEN j = 0 THEN 0 ELSE greatest(up, diag) END ELSE -9999 END AS t, CASE WHEN i = n THEN 0 ELSE gs END AS k
+            FROM (SELECT r.raw_index, s1, s2, n, m, j, gs, e, inserted, r.i + 1 AS i,
+                         r.d + CASE WHEN j = m THEN 0 ELSE {cost1} END AS up, likely AS up_likely, subs AS up_subs,
+                         lag(r.d) {w} + CASE WHEN s1[r.i + 1] = s2[j] THEN 5 ELSE -4 END AS diag,
+                         lag(likely) {w} + log10(CASE WHEN s1[r.i + 1] = s2[j] THEN 1 - e ELSE e / 3 END) AS diag_likely,
+                         lag(subs) {w} + (s1[r.i + 1] <> s2[j])::INT AS diag_subs
+                  FROM dp r WHERE r.i < r.n) w) w) w) w)
+    SELECT raw_index::INT AS raw_index, round(likely, 9) AS log_lambda, subs::INT AS hamming FROM dp WHERE i = n AND j = m"""
+
+
+@query(_compare_sql())
 def compare_center0(spark, sf_dir):
     uniques = written(derep.dereplicate(amplicon_reads(spark, sf_dir)), "uniques")
     center = uniques.where("raw_index = 0").select("sequence").first().sequence
-    return compare.against_center(uniques, center)
+    return compare.against_center(uniques, center).select("raw_index", F.round(F.log10("lambda"), 9).alias("log_lambda"), "hamming")
 
 
 # --- p-values -------------------------------------------------------------------------------------------------------
