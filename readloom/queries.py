@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom import scratch
 from readloom.fixtures import AMP_SQL, DOC_SQL, STATE_SQL, amplicon_reads, document_reads, state_tables, table
+from readloom.partition_sql import compared_sql, gap_sql, partition_sql
 from readloom.operators import align, assign, bud, compare, derep, errmodel, homopolymers, kmers, pvalue
 from readloom.plans import denoise, report
 from readloom.plans.partition import Settings
@@ -144,22 +145,9 @@ def homopolymer_runs(spark, sf_dir):
 # --- alignment ------------------------------------------------------------------------------------------------------
 
 
-def _gap_sql(homo: bool, band: int) -> tuple[str, str, str, str]:
-    """Of a cell of row w and column j: whether it is in the band; the first row's score; what a base of s2 costs, and of s1 (row r.i + 1)."""
-    inside = f"abs(w.j - w.i) <= {band} + (CASE WHEN w.j - w.i > 0 THEN greatest(w.m - w.n, 0) ELSE greatest(w.n - w.m, 0) END)" if band >= 0 else "TRUE"
-    start = f"CASE WHEN j > {band} + greatest(m - n, 0) THEN -9999 ELSE 0 END" if band >= 0 else "0"
-
-    def triple(s: str, at: str, n: str) -> str:
-        return "(" + " OR ".join(f"({at} - {k} >= 1 AND {at} - {k} + 2 <= {n} AND {s}[{at} - {k}] = {s}[{at} - {k} + 1] AND {s}[{at} - {k}] = {s}[{at} - {k} + 2])" for k in range(3)) + ")"
-
-    cost2 = f"CASE WHEN {triple('s2', 'j', 'm')} THEN -2 ELSE -8 END" if homo else "-8"
-    cost1 = f"CASE WHEN {triple('s1', '(r.i + 1)', 'r.n')} THEN -2 ELSE -8 END" if homo else "-8"
-    return inside, start, cost2, cost1
-
-
 def _align_sql(homo: bool, band: int) -> str:
     """Scores of every unique document read (s2) against the first (s1), row by row of the score matrix."""
-    inside, start, cost2, cost1 = _gap_sql(homo, band)
+    inside, start, cost2, cost1 = gap_sql(homo, band)
     return f"""WITH RECURSIVE {DOC_U},
     pr AS (SELECT u.raw_index, c.sequence AS s1, u.sequence AS s2, length(c.sequence) AS n, length(u.sequence) AS m FROM doc_u u CROSS JOIN (SELECT sequence FROM doc_u WHERE raw_index = 0) c),
     cells AS (SELECT raw_index, s1, s2, n, m, unnest(range(0, m + 1)) AS j FROM pr),
@@ -240,39 +228,7 @@ def hamming_ungapped(spark, sf_dir):
     return _with_center(_uniques(spark, sf_dir)).select("raw_index", compare.hamming(F.col("sequence"), F.col("center")).alias("hamming"))
 
 
-def _compare_sql() -> str:
-    """Likelihood and substitutions of every unique amplicon read (s2) against the first (s1), along the best alignment.
-
-    Besides its score each cell of the matrix carries the log likelihood and the substitutions of the best way to it. In a
-    row, ways go left from the last cell that was reached from above; of equal ways up comes first, then left.
-    """
-    inside, start, cost2, cost1 = _gap_sql(True, 16)
-    w = "OVER (PARTITION BY raw_index ORDER BY j)"
-    return f"""WITH RECURSIVE {AMP_SQL},
-    ql AS (SELECT sequence, p, round(sum(20 + (p * 3 + shift) % 21) / count(*))::INT AS q FROM amp CROSS JOIN range(1, 65) r(p) GROUP BY sequence, p),
-    pr AS (SELECT u.raw_index, c.sequence AS s1, u.sequence AS s2, length(c.sequence) AS n, length(u.sequence) AS m FROM amp_u u CROSS JOIN (SELECT sequence FROM amp_u WHERE raw_index = 0) c),
-    cells AS (SELECT raw_index, s1, s2, n, m, unnest(range(0, m + 1)) AS j FROM pr),
-    wrong AS (SELECT c.*, least(pow(10.0, -least(q, 40) / 10.0), 0.75) AS e FROM cells c LEFT JOIN ql ON ql.sequence = s2 AND p = j),
-    g AS (SELECT *, sum(CASE WHEN j = 0 THEN 0 ELSE {cost2} END) {w} AS gs, sum(CASE WHEN j = 0 THEN 0.0 ELSE log10(1 - e) END) {w} AS inserted FROM wrong),
-    dp AS (
-      SELECT raw_index, s1, s2, n, m, j, gs, e, inserted, 0::BIGINT AS i, ({start})::BIGINT AS d, inserted::DOUBLE AS likely, 0::BIGINT AS subs FROM g
-      UNION ALL
-      SELECT raw_index, s1, s2, n, m, j, gs, e, inserted, i, d,
-             (inserted + last_value(CASE step WHEN 'u' THEN up_likely - inserted WHEN 'd' THEN diag_likely - inserted END IGNORE NULLS) {w})::DOUBLE,
-             (last_value(CASE step WHEN 'u' THEN up_subs WHEN 'd' THEN diag_subs END IGNORE NULLS) {w})::BIGINT
-      FROM (SELECT *, CASE WHEN j = 0 OR up = d THEN 'u' WHEN lag(d) {w} + k - lag(k) {w} = d THEN 'l' ELSE 'd' END AS step
-      FROM (SELECT *, CASE WHEN {inside} THEN k + max(t - k) {w} ELSE -9999 END::BIGINT AS d
-      FROM (SELECT *, CASE WHEN {inside} THEN CASE WHEN j = 0 THEN 0 ELSE greatest(up, diag) END ELSE -9999 END AS t, CASE WHEN i = n THEN 0 ELSE gs END AS k
-            FROM (SELECT r.raw_index, s1, s2, n, m, j, gs, e, inserted, r.i + 1 AS i,
-                         r.d + CASE WHEN j = m THEN 0 ELSE {cost1} END AS up, likely AS up_likely, subs AS up_subs,
-                         lag(r.d) {w} + CASE WHEN s1[r.i + 1] = s2[j] THEN 5 ELSE -4 END AS diag,
-                         lag(likely) {w} + log10(CASE WHEN s1[r.i + 1] = s2[j] THEN 1 - e ELSE e / 3 END) AS diag_likely,
-                         lag(subs) {w} + (s1[r.i + 1] <> s2[j])::INT AS diag_subs
-                  FROM dp r WHERE r.i < r.n) w) w) w) w)
-    SELECT raw_index::INT AS raw_index, round(likely, 9) AS log_lambda, subs::INT AS hamming FROM dp WHERE i = n AND j = m"""
-
-
-@query(_compare_sql())
+@query(f"WITH RECURSIVE {compared_sql('raw_index = 0')} SELECT raw_index::INT AS raw_index, round(likely, 9) AS log_lambda, subs::INT AS hamming FROM compared")
 def compare_center0(spark, sf_dir):
     uniques = written(derep.dereplicate(amplicon_reads(spark, sf_dir)), "uniques")
     center = uniques.where("raw_index = 0").select("sequence").first().sequence
@@ -374,37 +330,81 @@ def compare_upsert(spark, sf_dir):
 # --- denoising ------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _log(c: str):
+    """Of numbers of any size, in a form that does not hang on the last bits; null for 0."""
+    return F.round(F.log10(F.when(F.col(c) > 0, F.col(c))), 9)
+
+
+def _log_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN round(log10({x}), 9) END"
+
+
+BIRTH_SQL = f"k.self, 9) AS self_lambda, k.kind AS birth_type, k.origin AS birth_from, round(k.pval, 9) AS birth_pval, {_log_sql('k.fold')} AS log_fold, {_log_sql('k.e')} AS log_e"
+STANDING_SQL = f"raw_index::INT AS raw_index, cluster::INT AS cluster_index, place::INT AS ord, round(p, 9) AS p_value, {_log_sql('own.l')} AS log_lambda, own.h::INT AS comp_hamming, {_log_sql('most')} AS log_e_minmax, locked"
+
+
+def _births() -> list:
+    return [F.round("self_lambda", 9).alias("self_lambda"), "birth_type", "birth_from", F.round("birth_pval", 9).alias("birth_pval"), _log("birth_fold").alias("log_fold"), _log("birth_e").alias("log_e")]
+
+
+def _standing(locked: str = "locked") -> list:
+    return ["raw_index", "cluster_index", "ord", F.round("p_value", 9).alias("p_value"), _log("comp_lambda").alias("log_lambda"), "comp_hamming", _log("e_minmax").alias("log_e_minmax"), F.col(locked).alias("locked")]
+
+
+def _members_sql(greedy: bool) -> str:
+    return f"WITH RECURSIVE {partition_sql(greedy)} SELECT 'amp' AS sample, {STANDING_SQL}, k.center::INT AS center_index, k.total AS total_reads, round({BIRTH_SQL} FROM members"
+
+
+def _members(spark, sf_dir, settings: Settings | None = None) -> DataFrame:
+    found = denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir)), settings)
+    return found.select("sample", *_standing(), "center_index", "total_reads", *_births())
+
+
+@query(_members_sql(False))
 def denoise_members(spark, sf_dir):
-    return denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir)))
+    return _members(spark, sf_dir)
 
 
-@query()
+@query(f"WITH RECURSIVE {partition_sql()} SELECT {STANDING_SQL}, reads AS abundance, own.c AS comp_cluster FROM members")
 def denoise_distributed(spark, sf_dir):
     """The amplicon sample as a large one: distributed ranks and a partition that no task holds as a whole."""
     records, _ = denoise.denoise_large(derep.dereplicate(amplicon_reads(spark, sf_dir), large=True))
-    return records
+    # Places are numbered with gaps there; a cluster is counted in its own window.
+    place = (F.row_number().over(Window.partitionBy("cluster_index").orderBy("ord")) - 1).alias("ord")
+    return records.withColumn("ord", place).select(*_standing("lock"), "abundance", "comp_cluster")
 
 
-@query()
+REPORT_SQL = f"""{partition_sql()},
+rep AS (SELECT cluster + 1 AS id, any_value(k) AS k, count(*) AS n, sum(reads)::BIGINT AS census FROM members GROUP BY cluster),
+asv AS (SELECT 'amp' AS sample, id::INT AS "ASV_ID", 'Unique_' || (k.center + 1) AS "Center_Unique", abundance AS "Center_Abund", k.total AS "Total_Reads", n AS "Unique_Seqs",
+               k.kind AS "Birth_Type", census AS "Census_Total", sequence AS "Sequence" FROM rep JOIN amp_u ON raw_index = k.center)"""
+
+
+@query(f"WITH RECURSIVE {REPORT_SQL} SELECT * FROM asv")
 def denoise_asv_report(spark, sf_dir):
     # The report needs no qualities, so it ranks the plain abundances again.
     return report.asv_report(denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir))), _uniques(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {partition_sql()}, rep AS (SELECT cluster, any_value(k) AS k FROM members GROUP BY cluster) SELECT 'amp' AS sample, cluster AS cluster_index, k.center::INT AS center_index, round({BIRTH_SQL} FROM rep")
 def denoise_lineage(spark, sf_dir):
-    return report.lineage(denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir))))
+    found = report.lineage(denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir))))
+    return found.select("sample", "cluster_index", "center_index", *_births())
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REPORT_SQL}
+    SELECT sample, "ASV_ID", concat_ws(' ', rpad("ASV_ID"::VARCHAR, 6, ' '), rpad("Center_Unique", 16, ' '), rpad("Center_Abund"::VARCHAR, 12, ' '), rpad("Total_Reads"::VARCHAR, 12, ' '),
+           rpad("Unique_Seqs"::VARCHAR, 10, ' '), rpad("Birth_Type", 12, ' ')) AS line,
+           'ASV ' || "ASV_ID" || ' (Abundance = ' || "Center_Abund" || '): ' || CASE WHEN length("Sequence") > 60 THEN "Sequence"[:57] || '...' ELSE "Sequence" END AS representative FROM asv"""
+)
 def denoise_report_lines(spark, sf_dir):
     return report.report_lines(denoise_asv_report(spark, sf_dir))
 
 
-@query()
+@query(_members_sql(True))
 def denoise_greedy(spark, sf_dir):
-    return denoise.denoise(derep.dereplicate(amplicon_reads(spark, sf_dir)), Settings(greedy=True))
+    return _members(spark, sf_dir, Settings(greedy=True))
 
 
 __all__ = ["QUERIES", "SQL", "table"]
