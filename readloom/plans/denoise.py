@@ -22,7 +22,7 @@ from readloom.plans.partition import Partition, Settings
 
 _MEMBERS = (
     "sample string, raw_index int, cluster_index int, ord int, p_value double, comp_lambda double, comp_hamming int, e_minmax double, locked boolean, "
-    "center_index int, total_reads long, self_lambda double, birth_type string, birth_from int, birth_pval double, birth_fold double, birth_e double"
+    "center_index int, total_reads long, self_lambda double, birth_type string, birth_from int, birth_pval double, birth_fold double, birth_e double, founder int, shuffles int"
 )
 
 
@@ -50,7 +50,7 @@ def partition_frame(uniques: pd.DataFrame, settings: Settings, rates: np.ndarray
             known = part.comp_cluster[i] >= 0
             rows.append(
                 (uniques["sample"].iloc[0], raw_of[i], c, place, part.p[i], part.comp_lam[i] if known else None, int(part.comp_ham[i]) if known else None, part.e_minmax[i], bool(part.lock[i]),
-                 raw_of[k.center], k.total, k.self_lambda, k.birth_type, k.birth_from, k.birth_pval, k.birth_fold, k.birth_e)
+                 raw_of[k.center], k.total, k.self_lambda, k.birth_type, k.birth_from, k.birth_pval, k.birth_fold, k.birth_e, raw_of[k.founder], k.shuffles)
             )
     out = pd.DataFrame(rows, columns=[f.split()[0] for f in _MEMBERS.split(", ")])
     return out.astype({"comp_hamming": "Int32", "birth_from": "Int32"})
@@ -109,7 +109,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
         ),
     )
     comparisons = spark.createDataFrame([], "cluster_index int, raw_index int, lambda double, hamming int")
-    clusters = [{"center_index": 0, "total_reads": int(total), "self_lambda": 1.0, "birth_type": "I", "birth_from": None, "birth_pval": 1.0, "birth_fold": 1.0, "birth_e": 0.0, "update_e": True, "check_locks": True}]
+    clusters = [{"center_index": 0, "total_reads": int(total), "self_lambda": 1.0, "birth_type": "I", "birth_from": None, "birth_pval": 1.0, "birth_fold": 1.0, "birth_e": 0.0, "founder": 0, "shuffles": 0, "update_e": True, "check_locks": True}]
 
     turn = {"records": 0, "comparisons": 0}
 
@@ -195,7 +195,7 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
             p = row.p_value * (1 if only_prior else n)
             if p < omega:
                 fold = row.abundance / row.birth_e if row.birth_e else float("inf")
-                clusters.append({"center_index": row.raw_index, "total_reads": row.abundance, "self_lambda": 1.0, "birth_type": kind, "birth_from": row.cluster_index, "birth_pval": p, "birth_fold": fold, "birth_e": row.birth_e, "update_e": True, "check_locks": True})
+                clusters.append({"center_index": row.raw_index, "total_reads": row.abundance, "self_lambda": 1.0, "birth_type": kind, "birth_from": row.cluster_index, "birth_pval": p, "birth_fold": fold, "birth_e": row.birth_e, "founder": row.raw_index, "shuffles": 0, "update_e": True, "check_locks": True})
                 if len(clusters) > s.max_clusters:
                     raise RuntimeError(f"more than {s.max_clusters} clusters")
                 own = F.col("raw_index") == row.raw_index
@@ -208,14 +208,14 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
     refreshed()
     while split():
         held_against(len(clusters) - 1)
-        rounds = 0
+        born = clusters[-1]
         while shuffled():
             for c, k in enumerate(clusters):
                 if k["update_e"]:
                     held_against(c)
-            rounds += 1
-            if rounds > s.max_shuffles:
-                raise RuntimeError(f"the partition did not settle in {rounds} shuffles")
+            born["shuffles"] += 1
+            if born["shuffles"] > s.max_shuffles:
+                raise RuntimeError(f"the partition did not settle in {born['shuffles']} shuffles")
         refreshed()
     store.drop("raws", "new", "moves", other("records"), other("comparisons"), other("comparisons"))
     return records, clusters

@@ -55,6 +55,9 @@ class Cluster:
     birth_fold: float = 1.0
     birth_e: float = 0.0
     self_lambda: float = 1.0
+    #: The sequence that founded the cluster (the center may be another one later), and the rounds of moves that followed.
+    founder: int = 0
+    shuffles: int = 0
     update_e: bool = True
     check_locks: bool = True
     lam: np.ndarray = field(init=False)
@@ -181,7 +184,7 @@ class Partition:
                 expected = float(self.comp_lam[raw]) * self.clusters[c].total
                 reads = int(self.abundance[raw])
                 fold = reads / expected if expected else float("inf")
-                self.clusters.append(Cluster(raw, [raw], reads, len(self.abundance), kind, c, p, fold, expected))
+                self.clusters.append(Cluster(raw, [raw], reads, len(self.abundance), kind, c, p, fold, expected, founder=raw))
                 if len(self.clusters) > self.settings.max_clusters:
                     raise RuntimeError(f"more than {self.settings.max_clusters} clusters")
                 return len(self.clusters) - 1
@@ -192,15 +195,15 @@ class Partition:
         self.update_pvalues()
         while (new := self.bud()) is not None:
             self.compare(new)
-            rounds = 0
+            born = self.clusters[new]
             while self.shuffle():
                 self.census()
                 self.assign_centers()
                 for c, cluster in enumerate(self.clusters):
                     if cluster.update_e:
                         self.compare(c)
-                rounds += 1
-                if rounds > self.settings.max_shuffles:
-                    raise RuntimeError(f"the partition did not settle in {rounds} shuffles")
+                born.shuffles += 1
+                if born.shuffles > self.settings.max_shuffles:
+                    raise RuntimeError(f"the partition did not settle in {born.shuffles} shuffles")
             self.update_pvalues()
         return self

@@ -34,6 +34,16 @@ def lineage(members: DataFrame) -> DataFrame:
     return members.groupBy("sample", "cluster_index").agg(*(F.first(c, ignorenulls=False).alias(c) for c in names))
 
 
+def trace(members: DataFrame) -> DataFrame:
+    """(sample, step, line): what each step of the run did; the last one of a sample finds nothing to split off."""
+    names = ["birth_type", "birth_from", "birth_pval", "founder", "shuffles"]
+    born = members.groupBy("sample", "cluster_index").agg(*(F.first(c, ignorenulls=False).alias(c) for c in names))
+    text = F.format_string("Step %d: Unique_%d leaves ASV %d (%s), p %.2e, %d rounds of moves", "cluster_index", F.col("founder") + 1, F.col("birth_from") + 1, "birth_type", "birth_pval", "shuffles")
+    steps = born.where("birth_from IS NOT NULL").select("sample", F.col("cluster_index").alias("step"), text.alias("line"))
+    last = members.groupBy("sample").agg((F.max("cluster_index") + 1).alias("step"))
+    return steps.unionByName(last.select("sample", "step", F.format_string("Step %d: nothing to split off, %d variants", "step", "step").alias("line")))
+
+
 def shown(sequence):
     return F.when(F.length(sequence) > SHOWN, F.concat(F.substring(sequence, 1, SHOWN - 3), F.lit("..."))).otherwise(sequence)
 

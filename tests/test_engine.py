@@ -337,6 +337,9 @@ def test_cli(spark, tmp_path, capsys):
     assert main([str(path), "-a", "0.1", "-v", "--output", str(tmp_path / "out")], spark) == 0
     shown = capsys.readouterr().out
     assert "710 reads, 3 unique sequences, 3 variants" in shown
+    # Births as worked out by hand: both from the first, p 0, and nothing moves afterwards.
+    steps = ["Step 1: Unique_2 leaves ASV 1 (A), p 0.00e+00, 0 rounds of moves", "Step 2: Unique_3 leaves ASV 1 (A), p 0.00e+00, 0 rounds of moves", "Step 3: nothing to split off, 3 variants"]
+    assert [line for line in shown.splitlines() if line.startswith("Step")] == steps
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     (tmp_path / "none.fasta").write_text("")
     assert main([str(tmp_path / "none.fasta")], spark) == 0
