@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from readloom import __version__
 from readloom.operators.derep import dereplicate
-from readloom.plans.denoise import denoise
+from readloom.plans.denoise import denoise_any
 from readloom.plans.partition import Settings
 from readloom.plans.report import asv_report, report_lines, trace
 from readloom.sources.fastx import read_fastx
@@ -30,12 +30,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
     if args.verbose:
         print(f"Reading {args.file}")
-    uniques = dereplicate(read_fastx(spark, args.file, args.qual_offset)).cache()
+    uniques = dereplicate(read_fastx(spark, args.file, args.qual_offset), large=True).cache()
     sizes = uniques.groupBy("sample").agg({"abundance": "sum", "*": "count"}).collect()
     if not sizes:
         print("No sequences found.")
         return 0
-    members = denoise(uniques, Settings(omega_a=args.omega_a)).cache()
+    members = denoise_any(uniques, Settings(omega_a=args.omega_a)).cache()
     report = asv_report(members, uniques).cache()
     lines = report_lines(report).orderBy("sample", "ASV_ID").collect()
     steps = trace(members).orderBy("sample", "step").collect() if args.verbose else []

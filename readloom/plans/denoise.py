@@ -4,7 +4,7 @@
 every unique sequence. ``denoise_large`` is for a sample that is too large for one task: sequences stay distributed, each
 step is a DataFrame plan, the driver keeps only the list of clusters and gets one candidate row and one count a step.
 Both give the same partition. A task of ``denoise`` holds a sample's unique sequences and, for every cluster, two numbers a
-sequence: rank samples of over some 100,000 unique sequences by ``derep.rank_large`` and give them to ``denoise_large``.
+sequence, so ``denoise_any`` sends samples of more than ``LARGE`` unique sequences through ``denoise_large``, one after another.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from readloom.operators import assign, bud, compare, pvalue
 from readloom.operators.errmodel import error_rates
 from readloom.plans.partition import Partition, Settings
 
+#: Most unique sequences of a sample that one task partitions.
+LARGE = 100_000
 _MEMBERS = (
     "sample string, raw_index int, cluster_index int, ord int, p_value double, comp_lambda double, comp_hamming int, e_minmax double, locked boolean, "
     "center_index int, total_reads long, self_lambda double, birth_type string, birth_from int, birth_pval double, birth_fold double, birth_e double, founder int, shuffles int"
@@ -166,9 +168,9 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
             return False
         # Who stays keeps its order; arrivals follow, by the cluster that they left and there from its end.
         last = gone.groupBy("target").agg(F.max(F.when(~F.col("moved"), F.col("ord"))).alias("__last"))
-        order = F.row_number().over(_window(["target", "moved"], [F.col("cluster_index"), F.col("ord").desc()]))
-        place = F.when(F.col("moved"), F.coalesce("__last", F.lit(-1)) + order).otherwise(F.col("ord"))
-        met = gone.join(last, "target").withColumn("__ord", place)
+        order = F.row_number().over(_window(["target"], [F.col("cluster_index"), F.col("ord").desc()]))
+        arrivals = gone.where("moved").join(last, "target").withColumn("__ord", F.coalesce("__last", F.lit(-1)) + order).drop("__last")
+        met = gone.where("NOT moved").withColumn("__ord", F.col("ord")).unionByName(arrivals)
         changed = {
             "cluster_index": F.col("target").cast("int"),
             "ord": F.col("__ord").cast("int"),
@@ -221,6 +223,28 @@ def denoise_large(uniques: DataFrame, settings: Settings | None = None, rates: n
     return records, clusters
 
 
+def denoise_any(uniques: DataFrame, settings: Settings | None = None, rates: np.ndarray | None = None, large: int = LARGE) -> DataFrame:
+    """As ``denoise``, samples of any size side by side; ``uniques`` should be written, as every large sample reads it.
+
+    The driver gets a row a large sample. In these, ``ord`` follows the places in a cluster with gaps.
+    """
+    big = [r.sample for r in uniques.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("sample").collect()]
+    if not big:
+        return denoise(uniques, settings, rates)
+    known = sorted(x for x in big if x is not None)
+    is_big = F.coalesce(F.col("sample").isin(known), F.lit(None in big))
+    out = denoise(uniques.where(~is_big), settings, rates)
+    names = [f.split()[0] for f in _MEMBERS.split(", ")]
+    for name in [*known, *([None] if None in big else [])]:
+        records, clusters = denoise_large(uniques.where(F.col("sample").eqNullSafe(F.lit(name))), settings, rates)
+        of_cluster = names[names.index("center_index") :]
+        kinds = ", ".join(["cluster_index int", *(f for f in _MEMBERS.split(", ") if f.split()[0] in of_cluster)])
+        rows = [(c, *(k[f] for f in of_cluster)) for c, k in enumerate(clusters)]
+        met = records.withColumnRenamed("lock", "locked").join(uniques.sparkSession.createDataFrame(rows, kinds), "cluster_index")
+        out = out.unionByName(met.withColumn("sample", F.lit(name).cast("string")).select(*names))
+    return out
+
+
 def _window(keys: list[str], order: list):
     from pyspark.sql import Window
 

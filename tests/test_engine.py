@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import nucleotides
 from readloom.operators import align, derep, errmodel, homopolymers, kmers
-from readloom.plans.denoise import denoise, denoise_large, partition_frame
+from readloom.plans.denoise import denoise, denoise_any, denoise_large, partition_frame
 from readloom.plans.partition import Partition, Settings
 from readloom.plans.report import asv_report, lineage, report_lines
 from readloom.schemas import READS
@@ -219,6 +219,18 @@ def test_both_modes_agree(spark):
     assert len(clusters) >= 3
 
 
+def test_large_samples_beside_small_ones(spark):
+    frame = pd.concat([uniques_frame(THREE, "a"), uniques_frame(THREE, "b").iloc[:2], uniques_frame(THREE[:1], "c")])
+    frame.loc[frame["sample"] == "c", "sample"] = None
+    uniques = spark.createDataFrame(frame, UNIQUES)
+    s = Settings(omega_a=0.1)
+    order = ["sample", "cluster_index", "ord"]
+    wanted = denoise(uniques, s).toPandas().sort_values(order)
+    for large in (100, 2, 1):
+        got = denoise_any(uniques, s, large=large).toPandas().sort_values(order)
+        pd.testing.assert_frame_equal(got.reset_index(drop=True), wanted.reset_index(drop=True), check_dtype=False)
+
+
 def test_samples_apart_and_reports(spark):
     frame = pd.concat([uniques_frame(THREE, "a"), uniques_frame(made_sample(), "b")])
     uniques = spark.createDataFrame(frame, UNIQUES)
