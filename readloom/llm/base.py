@@ -8,7 +8,6 @@ All are functions of content alone, so every task on every machine gives equal w
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -19,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.scratch import delete
+from readloom.scratch import root as scratch_root
+
 #: Bytes of text that one vectorised step works on (a longer single text is a step of its own).
 PIECE_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch sent to a Python worker.
@@ -30,20 +32,6 @@ RELEASE_SECONDS = 10.0
 # --- scratch tables -------------------------------------------------------------------------------------------------
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only in local mode where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        root = context.getCheckpointDir()
-        if not root:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-"))
-            root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, what: str = "table", by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -73,16 +61,12 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.scratch_path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables that operators have written; call it when no result that still reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/readloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{scratch_root(spark)}/readloom")
 
 
 def bounded_batches(spark: SparkSession) -> None:
