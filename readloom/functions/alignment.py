@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from readloom.functions import antidiagonal
+
 #: Fixed value: the score of cells next to the band.
 OUTSIDE = -9999
 DIAGONAL, LEFT, UP = 1, 2, 3
@@ -131,10 +133,28 @@ def _stack(texts: list[bytes]) -> np.ndarray:
 
 
 def align_pairs(pairs: list[tuple[str, str]], match: int, mismatch: int, gap: int, homo_gap: int | None, band: int) -> list[tuple[int, str, str]]:
-    """(score, first side, second side) of each pair."""
+    """(score, first side, second side) of each pair.
+
+    By antidiagonals in the band; row by row where costs are too large for that, or where scores sink to ``OUTSIDE``.
+    """
     raw = [(x.encode(), y.encode()) for x, y in pairs]
     out: list = [None] * len(raw)
-    for own in _blocks(raw):
+    if antidiagonal.fits(match, mismatch, gap, homo_gap):
+        by_length: dict[int, list[int]] = {}
+        for i, (x, y) in enumerate(raw):
+            if x and y:
+                by_length.setdefault(len(x), []).append(i)
+        history = np.empty(antidiagonal.HISTORY, np.uint8)
+        for n, own in by_length.items():
+            own.sort(key=lambda i: len(raw[i][1]))
+            for start, end in antidiagonal.blocks(n, [len(raw[i][1]) for i in own], band):
+                block = own[start:end]
+                found = antidiagonal.Block([raw[i][0] for i in block], [raw[i][1] for i in block], match, mismatch, gap, homo_gap, band, homopolymers, history).run()
+                for i, f in zip(block, found, strict=True):
+                    out[i] = f
+    rest = [i for i, f in enumerate(out) if f is None]
+    for places in _blocks([raw[i] for i in rest]):
+        own = [rest[k] for k in places]
         a, b = _stack([raw[i][0] for i in own]), _stack([raw[i][1] for i in own])
         score, moves, count = align_block(a, b, match, mismatch, gap, homo_gap, band)
         side_a, side_b, _ = _sides(a, b, moves)

@@ -187,7 +187,10 @@ def align_banded(spark, sf_dir):
 @query()
 def align_strings(spark, sf_dir):
     """Of whole documents: every unique one against the most abundant."""
-    both = _with_center(_doc_uniques(spark, sf_dir, whole=True).repartition("raw_index"))  # long texts stand together in the order of ranks
+    uniques = _doc_uniques(spark, sf_dir, whole=True)
+    # Long texts stand together in the order of ranks; a task takes thousands, which it aligns by length.
+    parts = max(spark.sparkContext.defaultParallelism, -(-uniques.count() // 8192))
+    both = _with_center(uniques.repartition(parts, "raw_index"))
     pairs = both.select(F.col("raw_index").cast("long").alias("raw_index"), F.col("center").alias("s1"), F.col("sequence").alias("s2"))
     return align.align(pairs, homo_gap=-2, band=16).select("raw_index", "score", "query_align", "ref_align")
 

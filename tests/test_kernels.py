@@ -36,6 +36,30 @@ def test_alignment_is_that_of_the_plain_recursion(s1, s2, homo, band):
     assert align_pairs([(s1, s2)], 5, -4, -8, homo, band)[0] == naive.align(s1, s2, 5, -4, -8, homo, band)
 
 
+@pytest.mark.parametrize("history", [1 << 12, 1 << 27])
+@pytest.mark.parametrize("band", [-1, 16])
+def test_lengths_mix_in_a_block_and_no_matrix_is_filled(monkeypatch, history, band):
+    def filled(*_):
+        raise AssertionError("the whole matrix of a pair")
+
+    monkeypatch.setattr("readloom.functions.antidiagonal.HISTORY", history)
+    rng = np.random.default_rng(5)
+    text = lambda k: "".join(rng.choice(list("ACGT"), k))
+    center = text(60)
+    pairs = [(center, x) for x in (text(1), center, center[20:] + text(30), text(90) + center, text(240), center[:30] + "AAAAAA" + center[30:], text(17))]
+    want = [naive.align(a, b, 5, -4, -8, -2, band) for a, b in pairs]
+    monkeypatch.setattr("readloom.functions.alignment.align_block", filled)
+    assert align_pairs(pairs, 5, -4, -8, -2, band) == want
+
+
+def test_scores_below_that_of_cells_beside_the_band():
+    rng = np.random.default_rng(6)
+    near = "".join(rng.choice(list("ACGT"), 2600))
+    pairs = [("A" * 2600, "C" * 2600), (near, near[5:] + "ACGTA")]
+    raw = [tuple(np.frombuffer(x.encode(), np.uint8)[None] for x in pair) for pair in pairs]
+    assert [s for s, _, _ in align_pairs(pairs, 5, -4, -8, -2, 16)] == [int(align_block(a, b, 5, -4, -8, -2, 16)[0][0]) for a, b in raw]
+
+
 def test_blocks_mix_shapes():
     pairs = [("ACGT", "ACG"), ("AAA", "AAA"), ("ACGT", "AGG"), ("", "A")]
     assert align_pairs(pairs, 5, -4, -8, -2, 16) == [naive.align(a, b, 5, -4, -8, -2, 16) for a, b in pairs]
